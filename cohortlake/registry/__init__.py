@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-MODULES = ("frames", "summaries", "abundance", "sources")
+MODULES = ("sources", "frames", "summaries", "abundance", "communities")
 
 
 def load() -> None:

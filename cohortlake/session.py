@@ -15,6 +15,7 @@ def local_session(cores: str | int = "*", app: str = "cohortlake", **conf) -> Sp
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", parallelism)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
@@ -59,6 +60,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a table to the shared folder once and go on from the columnar copy.
+
+    For large inputs of several passes: later scans read only the columns they
+    need, and a lost executor costs a re-read, not a recomputation.
+    """
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Number of shuffle partitions, the yardstick for splitting hot groups."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
