@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlake.operators.skew import join_null_safe
-from cohortlake.session import shuffle_width
+from cohortlake.session import cut_lineage, shuffle_width
 
 MAX_BUCKETS = 4096
 SAMPLE_PER_BUCKET = 20
@@ -96,7 +96,7 @@ def running_total(
         bucket_of(key, cuts).alias("_bucket"),
         *[column.alias(name) for name, column in measures.items()],
     )
-    sums = staged.groupBy(*group, "_bucket").agg(*[F.sum(n).alias(f"_s_{n}") for n in measures])
+    sums = cut_lineage(staged.groupBy(*group, "_bucket").agg(*[F.sum(n).alias(f"_s_{n}") for n in measures]))
     # At most MAX_BUCKETS rows per group here, whatever the group holds.
     whole = Window.partitionBy(*(group or [F.lit(0)]))
     before = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -128,7 +128,10 @@ def value_counts(df: DataFrame, group: Sequence[str], value: str, weight: str |
     """Distinct values per group: ``ties``, count at or below, count in group."""
     group = list(group)
     count = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(count.cast("long").alias("ties"))
+    # Read by the sample, the bucket sums and the result, so computed once.
+    counts = cut_lineage(
+        df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(count.cast("long").alias("ties"))
+    )
     return running_total(counts, group, [F.col(value)], with_totals=True, through=F.col("ties"))
 
 

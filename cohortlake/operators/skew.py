@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlake.session import shuffle_width
+from cohortlake.session import cut_lineage, shuffle_width
+
+BROADCAST_ROWS = 50_000
 
 
 def with_one_row(df: DataFrame, one_row: DataFrame, name: str = "_g") -> DataFrame:
@@ -18,14 +20,6 @@ def with_one_row(df: DataFrame, one_row: DataFrame, name: str = "_g") -> DataFra
     return df.withColumn(name, one_row.select(F.struct("*")).scalar())
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-safe equality on the keys, so null groups keep their rows."""
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
-    return condition
-
-
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on keys where null equals null; key columns come from the left."""
     renamed = right.select(
@@ -51,56 +45,73 @@ def skew_join(
 ) -> DataFrame:
     """Join a fact table to a table with one row per key, splitting hot keys.
 
-    A key is hot when it holds more than one shuffle partition's fair share of
-    the rows. There can be no more hot keys than shuffle partitions, so the list
-    of them is safe to broadcast. Fact rows of a hot key are spread over salts
-    and the keyed row is repeated once per salt; all other keys have one salt.
-    ``rows`` names a column of ``keyed`` that already holds the row count per
-    key (dropped from the result); without it the keys are counted.
+    A keyed table counted at no more than ``BROADCAST_ROWS`` rows is broadcast, and
+    the fact table stays where it is. Beyond that both sides are shuffled and hot
+    keys are split: a key is hot when it holds more than one shuffle partition's
+    fair share of the rows, so there are fewer hot keys than shuffle partitions.
+    Fact rows of a hot key are spread over salts and the keyed row is repeated
+    once per salt. ``rows`` names a column of ``keyed`` that already holds the row
+    count per key (dropped from the result); without it the keys are counted.
     """
     keys = list(keys)
-    width = shuffle_width(fact.sparkSession)
+    plain = keyed if rows is None else keyed.drop(rows)
+    if keyed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return join_null_safe(fact, F.broadcast(plain), keys, how)
     if rows is None:
         sizes = fact.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     else:
         sizes = keyed.select(*keys, F.col(rows).alias("_rows"))
-        keyed = keyed.drop(rows)
-    total = sizes.agg(F.sum("_rows").alias("t"))
-    hot = (
-        sizes.withColumn("_salts", F.ceil(F.col("_rows") * F.lit(width) / total.scalar()).cast("int"))
-        .where(F.col("_salts") > 1)
-        .select(*keys, "_salts")
-    )
-    hot = F.broadcast(hot)
+    hot = hot_keys(sizes, shuffle_width(fact.sparkSession))
+    if hot is None:
+        return join_null_safe(fact, plain, keys, how)
     salted_fact = (
         join_null_safe(fact, hot, keys, "left")
         .withColumn("_salt", F.pmod(F.xxhash64(*fact.columns), F.coalesce("_salts", F.lit(1))).cast("int"))
         .drop("_salts")
     )
     salted_keyed = (
-        join_null_safe(keyed, hot, keys, "left")
+        join_null_safe(plain, hot, keys, "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
         .drop("_salts")
     )
     return join_null_safe(salted_fact, salted_keyed, [*keys, "_salt"], how).drop("_salt")
 
 
+def hot_keys(sizes: DataFrame, width: int) -> DataFrame | None:
+    """Keys above a fair share with their number of salts, ready to broadcast; None if there are none.
+
+    ``sizes`` has the keys and ``_rows``. At most ``width`` keys can exceed one part in
+    ``width`` of all rows, which bounds what the driver sees.
+    """
+    shape = sizes.agg(F.sum("_rows").alias("total"), F.max("_rows").alias("largest")).first()
+    if not shape["total"] or shape["largest"] * width <= shape["total"]:
+        return None
+    hot = sizes.where(F.col("_rows") * width > shape["total"]).withColumn(
+        "_salts", F.ceil(F.col("_rows") * width / F.lit(shape["total"])).cast("int")
+    )
+    found = hot.drop("_rows")
+    return F.broadcast(sizes.sparkSession.createDataFrame(found.collect(), found.schema))
+
+
 def attach_stats(df: DataFrame, keys: Sequence[str], **aggregates: Column) -> DataFrame:
     """Put group aggregates on every row of the group, without a window.
 
     A window would sort each whole group in one task; this combines map-side,
-    then joins back with hot groups split.
+    then joins back with hot groups split. The aggregate is cut off from its
+    lineage, so chained calls do not multiply the plan.
     """
-    stats = df.groupBy(*keys).agg(
-        *[column.alias(name) for name, column in aggregates.items()],
-        F.count(F.lit(1)).alias("_group_rows"),
+    stats = cut_lineage(
+        df.groupBy(*keys).agg(
+            *[column.alias(name) for name, column in aggregates.items()],
+            F.count(F.lit(1)).alias("_group_rows"),
+        )
     )
     return skew_join(df, stats, keys, rows="_group_rows")
 
 
 def keep_groups(df: DataFrame, keys: Sequence[str], test: Column) -> DataFrame:
     """Keep the rows of groups whose aggregate passes the test."""
-    stats = (
+    stats = cut_lineage(
         df.groupBy(*keys)
         .agg(test.alias("_pass"), F.count(F.lit(1)).alias("_group_rows"))
         .where(F.col("_pass"))

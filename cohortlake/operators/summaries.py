@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -122,6 +123,15 @@ def summary_by_stratum(
     and share of the non-missing. ``level`` is null for continuous variables.
     """
     doubled = df.withColumn("_in", F.explode(F.array(F.lit("overall"), F.col(stratum).cast("string"))))
+    parts = []
+    if continuous:
+        parts.append(_number_rows(doubled, continuous))
+    if categorical:
+        parts.append(_level_rows(doubled, categorical))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _number_rows(doubled: DataFrame, continuous: Sequence[str]) -> DataFrame:
     numbers = (
         doubled.select("_in", *[F.col(c).cast("double").alias(c) for c in continuous])
         .unpivot(["_in"], list(continuous), "variable", "_value")
@@ -130,7 +140,7 @@ def summary_by_stratum(
     keys = ["variable", "_in"]
     sizes = numbers.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     quartiles = exact_quantiles(numbers, keys, "_value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    number_rows = join_null_safe(sizes, quartiles, keys).select(
+    return join_null_safe(sizes, quartiles, keys).select(
         "variable",
         F.col("_in").alias("stratum"),
         F.lit(None).cast("string").alias("level"),
@@ -140,6 +150,10 @@ def summary_by_stratum(
         "q3",
         F.lit(None).cast("double").alias("percent"),
     )
+
+
+def _level_rows(doubled: DataFrame, categorical: Sequence[str]) -> DataFrame:
+    keys = ["variable", "_in"]
     levels = (
         doubled.select("_in", *[F.col(c).cast("string").alias(c) for c in categorical])
         .unpivot(["_in"], list(categorical), "variable", "level")
@@ -148,7 +162,7 @@ def summary_by_stratum(
         .agg(F.count(F.lit(1)).alias("n"))
     )
     whole = levels.groupBy(*keys).agg(F.sum("n").alias("_all"))
-    level_rows = join_null_safe(levels, whole, keys).select(
+    return join_null_safe(levels, whole, keys).select(
         "variable",
         F.col("_in").alias("stratum"),
         "level",
@@ -156,7 +170,6 @@ def summary_by_stratum(
         *[F.lit(None).cast("double").alias(c) for c in ("median", "q1", "q3")],
         (F.col("n") * 100.0 / F.col("_all")).alias("percent"),
     )
-    return number_rows.unionByName(level_rows)
 
 
 def zscore(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:

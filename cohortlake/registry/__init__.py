@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-MODULES = ("sources", "frames", "summaries", "abundance", "communities")
+MODULES = ("sources", "frames", "summaries", "abundance", "communities", "testing", "posterior")
 
 
 def load() -> None:
