@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlake.operators.ranks import exact_quantiles, with_position
+from cohortlake.session import cut_lineage
 
 FIRST_DAY = "2024-01-01"
 
@@ -140,7 +141,9 @@ def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id",
         (F.log("value") - 3.0).alias("draw"),
     )
-    return with_position(rows, ["param", "chain"], [F.col("event_id")], "iter").select("param", "chain", "iter", "draw")
+    placed = with_position(rows, ["param", "chain"], [F.col("event_id")], "iter")
+    # Stands for a stored table, which its readers go over several times.
+    return cut_lineage(placed.select("param", "chain", "iter", "draw"))
 
 
 def sampler(spark: SparkSession, sf_dir: str) -> DataFrame:
