@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlake.operators.ranks import with_position
-from cohortlake.operators.skew import skew_join, with_one_row
+from cohortlake.operators.skew import keep_groups, skew_join, with_one_row
+from cohortlake.session import cut_lineage
 
 
 # --- columns -------------------------------------------------------------------------------
@@ -83,13 +84,13 @@ def tagged_union(frames: Mapping[str, DataFrame], tag: str) -> DataFrame:
 
 
 def member_filter(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Rows whose key is in the other table."""
-    return df.join(keys.select(*on).distinct(), list(on), "left_semi")
+    """Rows whose key is in the other table; a null key is in none."""
+    return skew_join(df, keys.select(*on).dropna().distinct(), on, "left_semi")
 
 
 def nonmember_filter(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows whose key is not in the other table; rows with a null key stay."""
-    return df.join(keys.select(*on).distinct(), list(on), "left_anti")
+    return skew_join(df, keys.select(*on).dropna().distinct(), on, "left_anti")
 
 
 def join_dictionary(df: DataFrame, labels: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -99,7 +100,8 @@ def join_dictionary(df: DataFrame, labels: DataFrame, on: Sequence[str]) -> Data
 
 def join_right_keep(attributes: DataFrame, facts: DataFrame, on: Sequence[str]) -> DataFrame:
     """Keep every fact row and attach the attributes, null where there are none."""
-    return attributes.join(facts, list(on), "right")
+    joined = skew_join(facts, attributes, on, "left")
+    return joined.select(*on, *[c for c in facts.columns if c not in on], *[c for c in attributes.columns if c not in on])
 
 
 # --- reshapes ------------------------------------------------------------------------------
@@ -152,11 +154,13 @@ def key_grid(left: DataFrame, right: DataFrame) -> DataFrame:
         .groupBy("_chunk")
         .agg(F.collect_list(F.struct(*right.columns)).alias("_keys"))
     )
+    chunks = cut_lineage(chunks)
     last = chunks.agg(F.max("_chunk").alias("m"))
+    spread = with_one_row(left.distinct(), last, "_last").withColumn(
+        "_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last.m")))
+    )
     return (
-        with_one_row(left.distinct(), last, "_last")
-        .withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last.m"))))
-        .join(chunks, "_chunk")
+        skew_join(spread, chunks, ["_chunk"], broadcast_rows=50)
         .select(*left.columns, F.explode("_keys").alias("_key"))
         .select(*left.columns, "_key.*")
     )
@@ -183,7 +187,17 @@ def value_grid(df: DataFrame, column: str, points: int, out: str) -> DataFrame:
 
 def presence_rows(df: DataFrame, feature: str, value: str, above: float) -> DataFrame:
     """Long 0/1 presence over features seen above the threshold at least once."""
-    from cohortlake.operators.skew import keep_groups
-
     flagged = df.withColumn("present", (F.col(value) > above).cast("int"))
     return keep_groups(flagged, [feature], F.max("present") > 0)
+
+
+def matrix_melt(pairs: DataFrame, labels: DataFrame, key: str, label: str, value: str, diagonal) -> DataFrame:
+    """A symmetric pair table (a, b, value) as the full square (x, y, value) with labels on both sides."""
+    sides = F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))
+    square = pairs.select(F.explode(sides).alias("_s"), value).select("_s.x", "_s.y", value)
+    own = labels.select(F.col(key).alias("x"), F.col(key).alias("y"), F.lit(diagonal).alias(value))
+    melted = square.unionByName(own)
+    for side in ("x", "y"):
+        named = labels.select(F.col(key).alias(side), F.col(label).alias(f"{label}_{side}"))
+        melted = skew_join(melted, named, [side], "left")
+    return melted

@@ -42,11 +42,12 @@ def skew_join(
     keys: Sequence[str],
     how: str = "inner",
     rows: str | None = None,
+    broadcast_rows: int | None = None,
 ) -> DataFrame:
-    """Join a fact table to a table with one row per key, splitting hot keys.
+    """Join a fact table to a table with few rows per key, splitting hot keys.
 
-    A keyed table counted at no more than ``BROADCAST_ROWS`` rows is broadcast, and
-    the fact table stays where it is. Beyond that both sides are shuffled and hot
+    A keyed table counted at no more than ``broadcast_rows`` rows (``BROADCAST_ROWS``;
+    less for wide rows) is broadcast, and the fact table stays where it is. Beyond that both sides are shuffled and hot
     keys are split: a key is hot when it holds more than one shuffle partition's
     fair share of the rows, so there are fewer hot keys than shuffle partitions.
     Fact rows of a hot key are spread over salts and the keyed row is repeated
@@ -55,7 +56,8 @@ def skew_join(
     """
     keys = list(keys)
     plain = keyed if rows is None else keyed.drop(rows)
-    if keyed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    bound = BROADCAST_ROWS if broadcast_rows is None else min(broadcast_rows, BROADCAST_ROWS)
+    if keyed.limit(bound + 1).count() <= bound:
         return join_null_safe(fact, F.broadcast(plain), keys, how)
     if rows is None:
         sizes = fact.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))

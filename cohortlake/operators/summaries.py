@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlake.operators.ranks import exact_quantiles, with_position
-from cohortlake.operators.skew import join_null_safe, with_one_row
+from cohortlake.operators.skew import join_null_safe, skew_join, with_one_row
+from cohortlake.session import cut_lineage
 
 
 def count_by(df: DataFrame, keys: Sequence[str], out: str = "n") -> DataFrame:
@@ -97,7 +98,7 @@ def density_grid(df: DataFrame, keys: Sequence[str], value: str, points: int, bi
     )
     at = F.least(F.floor((F.col(value) - F.col("_lo")) / F.col("_bin_width")), F.lit(bins - 1))
     binned = (
-        join_null_safe(df.where(F.col(value).isNotNull()), shape, keys)
+        skew_join(df.where(F.col(value).isNotNull()), shape, keys)
         .groupBy(*keys, "_n", "_lo", "_bin_width", "_step", "_bw", at.alias("_bin"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
@@ -122,24 +123,35 @@ def summary_by_stratum(
     Continuous variables give count, median and quartiles; categories give count
     and share of the non-missing. ``level`` is null for continuous variables.
     """
-    doubled = df.withColumn("_in", F.explode(F.array(F.lit("overall"), F.col(stratum).cast("string"))))
+    rows = df.withColumn("_in", F.col(stratum).cast("string"))
     parts = []
     if continuous:
-        parts.append(_number_rows(doubled, continuous))
+        parts.append(_number_rows(rows, continuous))
     if categorical:
-        parts.append(_level_rows(doubled, categorical))
+        parts.append(_level_rows(rows, categorical))
     return functools.reduce(DataFrame.unionByName, parts)
 
 
-def _number_rows(doubled: DataFrame, continuous: Sequence[str]) -> DataFrame:
-    numbers = (
-        doubled.select("_in", *[F.col(c).cast("double").alias(c) for c in continuous])
-        .unpivot(["_in"], list(continuous), "variable", "_value")
-        .where(F.col("_value").isNotNull())
+def _counted(rows: DataFrame, kind: str, variables: Sequence[str], value: str) -> DataFrame:
+    """Count per (variable, stratum, value), then once more for all strata together.
+
+    Only counts are doubled, not rows.
+    """
+    counts = (
+        rows.select("_in", *[F.col(v).cast(kind).alias(v) for v in variables])
+        .unpivot(["_in"], list(variables), "variable", value)
+        .where(F.col(value).isNotNull())
+        .groupBy("variable", "_in", value)
+        .agg(F.count(F.lit(1)).alias("_c"))
     )
+    return counts.select("variable", F.explode(F.array(F.lit("overall"), F.col("_in"))).alias("_in"), value, "_c")
+
+
+def _number_rows(rows: DataFrame, continuous: Sequence[str]) -> DataFrame:
+    numbers = cut_lineage(_counted(rows, "double", continuous, "_value"))
     keys = ["variable", "_in"]
-    sizes = numbers.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    quartiles = exact_quantiles(numbers, keys, "_value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    sizes = numbers.groupBy(*keys).agg(F.sum("_c").alias("n"))
+    quartiles = exact_quantiles(numbers, keys, "_value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, weight="_c")
     return join_null_safe(sizes, quartiles, keys).select(
         "variable",
         F.col("_in").alias("stratum"),
@@ -152,14 +164,10 @@ def _number_rows(doubled: DataFrame, continuous: Sequence[str]) -> DataFrame:
     )
 
 
-def _level_rows(doubled: DataFrame, categorical: Sequence[str]) -> DataFrame:
+def _level_rows(rows: DataFrame, categorical: Sequence[str]) -> DataFrame:
     keys = ["variable", "_in"]
     levels = (
-        doubled.select("_in", *[F.col(c).cast("string").alias(c) for c in categorical])
-        .unpivot(["_in"], list(categorical), "variable", "level")
-        .where(F.col("level").isNotNull())
-        .groupBy("variable", "_in", "level")
-        .agg(F.count(F.lit(1)).alias("n"))
+        _counted(rows, "string", categorical, "level").groupBy(*keys, "level").agg(F.sum("_c").alias("n"))
     )
     whole = levels.groupBy(*keys).agg(F.sum("n").alias("_all"))
     return join_null_safe(levels, whole, keys).select(

@@ -191,7 +191,7 @@ def _(spark, d):
 )
 def _(spark, d):
     peaks = V.visits(spark, d).select("subject", "day", F.col("peak").alias("value"), "peak")
-    return V.paired(spark, d).join(peaks, ["subject", "day", "value"], "left")
+    return skew_join(V.paired(spark, d), peaks, ["subject", "day", "value"], "left")
 
 
 @query(
