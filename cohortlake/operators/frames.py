@@ -126,6 +126,7 @@ def feature_columns(
         .groupBy(*ids)
         .agg(*[F.max(F.when(F.col(feature) == f, F.col(value))).alias(c) for f, c in chosen.items()])
     )
+    wide = cut_lineage(wide)
     rest = df.where(~F.coalesce(F.col(feature).isin(*chosen), F.lit(False)))
     joined = skew_join(rest, wide, ids, "left")
     if fill is None:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortlake.operators.ranks import exact_quantiles, running_total, with_position
 from cohortlake.operators.skew import attach_stats, keep_groups, skew_join, with_one_row
+from cohortlake.session import cut_lineage
 
 
 def exact_kinds(df: DataFrame, keys: Sequence[str], kind: str, kinds: Sequence[str]) -> DataFrame:
@@ -89,7 +90,7 @@ def sequence_in_group(
 
 def quantile_broadcast(df: DataFrame, group: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Exact group quantiles on every row of the group."""
-    return skew_join(df, exact_quantiles(df, group, value, probs), group)
+    return skew_join(df, cut_lineage(exact_quantiles(df, group, value, probs)), group)
 
 
 def first_distinct_index(df: DataFrame, key: str, out: str) -> DataFrame:
@@ -99,11 +100,12 @@ def first_distinct_index(df: DataFrame, key: str, out: str) -> DataFrame:
 
 def model_index(df: DataFrame, key: str, out: str) -> DataFrame:
     """Rows with an integer code for the key, the row count and the number of codes."""
-    index = first_distinct_index(df.where(F.col(key).isNotNull()), key, out)
+    index = cut_lineage(first_distinct_index(df.where(F.col(key).isNotNull()), key, out))
     coded = skew_join(df, index, [key], "left")
-    sizes = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(key).alias("k"))
-    return with_one_row(coded, sizes, "_sizes").select(
-        *df.columns, out, F.col("_sizes.n").alias("n"), F.col("_sizes.k").alias(f"n_{key}")
+    rows = df.agg(F.count(F.lit(1)).alias("n"))
+    codes = index.agg(F.count(F.lit(1)).alias("k"))
+    return with_one_row(with_one_row(coded, rows, "_rows"), codes, "_codes").select(
+        *df.columns, out, F.col("_rows.n").alias("n"), F.col("_codes.k").alias(f"n_{key}")
     )
 
 

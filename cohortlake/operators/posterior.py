@@ -75,7 +75,7 @@ def _shape(draws: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def _cut(draws: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Draws with ``chains`` and ``n``, without the rows past the shortest chain."""
-    return skew_join(draws, _shape(draws, keys), keys, rows="_rows").where(F.col("iter") <= F.col("n"))
+    return skew_join(draws, cut_lineage(_shape(draws, keys)), keys, rows="_rows").where(F.col("iter") <= F.col("n"))
 
 
 def _rhat_of(cut: DataFrame, keys: Sequence[str], draw: str) -> DataFrame:
@@ -111,7 +111,7 @@ def rank_rhat(draws: DataFrame, keys: Sequence[str] = ("param",)) -> DataFrame:
         ).alias("_p"),
         F.col("ties").alias("_ties"),
     )
-    scores = ranks.select(*keys, "draw", normal_quantile("_p").alias("_z"), "_ties")
+    scores = cut_lineage(ranks.select(*keys, "draw", normal_quantile("_p").alias("_z"), "_ties"))
     return _rhat_of(skew_join(cut, scores, [*keys, "draw"], rows="_ties"), keys, "_z")
 
 
@@ -174,8 +174,10 @@ def effective_size(draws: DataFrame, keys: Sequence[str] = ("param",), first_lag
     """
     keys = list(keys)
     cut = _cut(draws, keys)
-    per_chain = cut.groupBy(*keys, "chain").agg(
-        F.avg("draw").alias("_mean"), F.count(F.lit(1)).alias("_k"), F.var_samp("draw").alias("_var")
+    per_chain = cut_lineage(
+        cut.groupBy(*keys, "chain").agg(
+            F.avg("draw").alias("_mean"), F.count(F.lit(1)).alias("_k"), F.var_samp("draw").alias("_var")
+        )
     )
     centered = skew_join(
         cut.select(*keys, "chain", "iter", "draw"), per_chain.drop("_var"), [*keys, "chain"], rows="_k"

@@ -96,6 +96,7 @@ def density_grid(df: DataFrame, keys: Sequence[str], value: str, points: int, bi
         ((F.col("_hi") - F.col("_lo")) / (points - 1)).alias("_step"),
         (F.lit(0.9) * F.least("_sd", (F.col("_q3") - F.col("_q1")) / 1.34) * F.pow(F.col("_n"), F.lit(-0.2))).alias("_bw"),
     )
+    shape = cut_lineage(shape)
     at = F.least(F.floor((F.col(value) - F.col("_lo")) / F.col("_bin_width")), F.lit(bins - 1))
     binned = (
         skew_join(df.where(F.col(value).isNotNull()), shape, keys)

@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlake.operators.skew import attach_stats, keep_groups, skew_join, with_one_row
+from cohortlake.session import cut_lineage
 
 
 def relative_abundance(df: DataFrame, sample: str, feature: str, family: str, n: str) -> DataFrame:
     """Feature and family share of each sample's total, on every (sample, feature) row."""
     cells = df.groupBy(sample, feature, family).agg(F.sum(n).alias(n))
-    by_family = cells.groupBy(sample, family).agg(F.sum(n).alias("family_n"))
-    totals = by_family.groupBy(sample).agg(F.sum("family_n").alias("total"))
-    families = by_family.join(totals, sample)
-    return skew_join(cells, families, [sample, family]).select(
+    by_family = cells.groupBy(sample, family).agg(F.sum(n).alias("family_n"), F.count(F.lit(1)).alias("_rows"))
+    # One row per sample and family here, so this window holds a sample's families only.
+    families = cut_lineage(by_family.withColumn("total", F.sum("family_n").over(Window.partitionBy(sample))))
+    return skew_join(cells, families, [sample, family], rows="_rows").select(
         sample,
         feature,
         family,

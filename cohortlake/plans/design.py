@@ -11,6 +11,7 @@ from cohortlake.operators.frames import feature_columns
 from cohortlake.operators.groups import first_distinct_index
 from cohortlake.operators.skew import keep_groups, skew_join
 from cohortlake.operators.summaries import zscore
+from cohortlake.session import cut_lineage, materialize
 
 
 def design_matrix(
@@ -30,14 +31,15 @@ def design_matrix(
     named in the second result.
     """
     kept = skew_join(counts, outcomes.where(keep), [sample])
-    totals = counts.groupBy(sample).agg(F.sum(n).alias("total"), F.count(F.lit(1)).alias("_k"))
+    totals = cut_lineage(counts.groupBy(sample).agg(F.sum(n).alias("total"), F.count(F.lit(1)).alias("_k")))
     with_total = skew_join(kept, totals, [sample], rows="_k")
     rows = feature_columns(with_total, [sample], feature, n, chosen, F.lit(0).cast("long"))
-    seen = keep_groups(rows, [feature], F.sum(n) > 0).withColumnRenamed(n, "x")
+    # Read for the spread, the scaling, the index and the result.
+    seen = materialize(keep_groups(rows, [feature], F.sum(n) > 0).withColumnRenamed(n, "x"), "design-rows")
     spread = seen.agg(*[F.var_samp(c).alias(c) for c in chosen.values()]).first()
     flat = [c for c in chosen.values() if not spread[c]]
     scaled = zscore(
         seen.drop(*flat), {c: c for c in ["x", "total", *[c for c in chosen.values() if c not in flat]]}
     )
-    index = first_distinct_index(seen, feature, "feature_num")
+    index = cut_lineage(first_distinct_index(seen, feature, "feature_num"))
     return skew_join(scaled, index, [feature]), flat

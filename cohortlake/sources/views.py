@@ -77,7 +77,7 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     families = part.select(
         family.alias("node"), F.lit("root").alias("parent"), F.lit(0.5).alias("length"), no_tip.alias("tip")
     )
-    root = spark.range(1).select(
+    root = spark.range(0, 1, 1, 1).select(
         F.lit("root").alias("node"), none.alias("parent"), F.lit(0.0).alias("length"), no_tip.alias("tip")
     )
     return tips.union(genera.distinct()).union(families.distinct()).union(root)
