@@ -14,8 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlake.operators.skew import join_null_safe
-from cohortlake.session import cut_lineage, shuffle_width
+from cohortlake.operators.skew import BROADCAST_ROWS
+from cohortlake.session import cut_lineage, materialize, shuffle_width
 
 MAX_BUCKETS = 4096
 SAMPLE_PER_BUCKET = 20
@@ -91,26 +91,32 @@ def running_total(
             *[F.sum(column).over(upto).alias(name) for name, column in measures.items()],
             *[F.sum(measures[n]).over(one).alias(f"{n}_total") for n in totals],
         )
+    # The group as one struct: null groups compare equal, and the join and the
+    # window below share one partitioning.
     staged = df.select(
         *kept,
+        F.struct(*(group or [F.lit(0)])).alias("_group"),
         bucket_of(key, cuts).alias("_bucket"),
         *[column.alias(name) for name, column in measures.items()],
     )
-    sums = cut_lineage(staged.groupBy(*group, "_bucket").agg(*[F.sum(n).alias(f"_s_{n}") for n in measures]))
+    sums = cut_lineage(staged.groupBy("_group", "_bucket").agg(*[F.sum(n).alias(f"_s_{n}") for n in measures]))
     # At most MAX_BUCKETS rows per group here, whatever the group holds.
-    whole = Window.partitionBy(*(group or [F.lit(0)]))
+    whole = Window.partitionBy("_group")
     before = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
-        *group,
+        "_group",
         "_bucket",
         *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in measures],
         *[F.sum(f"_s_{n}").over(whole).alias(f"{n}_total") for n in totals],
     )
+    if sums.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
     inside = (
-        Window.partitionBy(*group, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy("_group", "_bucket")
+        .orderBy(*order)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    joined = join_null_safe(staged, offsets, [*group, "_bucket"])
-    return joined.select(
+    return staged.join(offsets, ["_group", "_bucket"]).select(
         *kept,
         *[(F.col(f"_o_{n}") + F.sum(n).over(inside)).alias(n) for n in measures],
         *[f"{n}_total" for n in totals],
@@ -128,9 +134,9 @@ def value_counts(df: DataFrame, group: Sequence[str], value: str, weight: str |
     """Distinct values per group: ``ties``, count at or below, count in group."""
     group = list(group)
     count = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    # Read by the sample, the bucket sums and the result, so computed once.
-    counts = cut_lineage(
-        df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(count.cast("long").alias("ties"))
+    # Read by the sample, the bucket sums and the result, so computed and written once.
+    counts = materialize(
+        df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(count.cast("long").alias("ties")), "value-counts"
     )
     return running_total(counts, group, [F.col(value)], with_totals=True, through=F.col("ties"))
 

@@ -66,9 +66,11 @@ def skew_join(
     hot = hot_keys(sizes, shuffle_width(fact.sparkSession))
     if hot is None:
         return join_null_safe(fact, plain, keys, how)
+    # Equal rows differ by the partition they are read from, which a retried task keeps.
+    salt = F.xxhash64(*fact.columns, F.spark_partition_id())
     salted_fact = (
         join_null_safe(fact, hot, keys, "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(*fact.columns), F.coalesce("_salts", F.lit(1))).cast("int"))
+        .withColumn("_salt", F.pmod(salt, F.coalesce("_salts", F.lit(1))).cast("int"))
         .drop("_salts")
     )
     salted_keyed = (

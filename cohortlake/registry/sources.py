@@ -56,10 +56,10 @@ def _(spark, d):
 
 @query(
     "scan_glob",
-    "SELECT 'nation.parquet' AS origin, n_nationkey, n_name, n_regionkey FROM nation",
+    "SELECT 'orders.parquet' AS origin, o_orderkey, o_custkey, o_totalprice FROM orders",
 )
 def _(spark, d):
-    rows = io.scan_glob(spark, f"{d}/nat*.parquet")
+    rows = io.scan_glob(spark, f"{d}/ord*.parquet").select("origin", "o_orderkey", "o_custkey", "o_totalprice")
     return rows.withColumn("origin", F.element_at(F.split("origin", "/"), -1))
 
 

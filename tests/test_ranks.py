@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from cohortlake.operators import groups, ranks
 
 
-@pytest.fixture(params=["one bucket", "many buckets"])
+@pytest.fixture(params=["one bucket", "many buckets", "many buckets, no broadcast"])
 def bucketed(request, monkeypatch):
-    if request.param == "many buckets":
+    if request.param != "one bucket":
+        if "no broadcast" in request.param:
+            monkeypatch.setattr(ranks, "BROADCAST_ROWS", 0)
         monkeypatch.setattr(ranks, "SMALL_TABLE", 10)
         monkeypatch.setattr(ranks, "SAMPLE_PER_BUCKET", 8)
 
@@ -18,7 +20,7 @@ def skewed(spark):
     random.seed(3)
     rows = [("hot", float(random.randint(0, 30)), i) for i in range(400)]
     rows += [(f"g{i % 7}", random.random() * 50, i) for i in range(400, 700)]
-    rows += [("none", None, 700)]
+    rows += [("none", None, 700)] + [(None, float(i % 9), 701 + i) for i in range(60)]
     return spark.createDataFrame(rows, "g string, v double, id int")
 
 
