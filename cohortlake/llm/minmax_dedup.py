@@ -7,9 +7,9 @@ as long as leaves a pair at the bound a chance of ``MISSED`` to share none.
 
 No group is expanded into all pairs. Equal sets become one class. In each band bucket the
 member with most candidate company is the hub and every member is compared with it. Members
-that end in another component than the hub are then compared with all members of other
-components, except where the triangle inequality of the Jaccard distance, from the two known
-distances to the hub, rules a link out. So no link between candidates is lost.
+that end in another component than the hub are then compared with the members of other
+components, except where what is known of both from the hub rules a link out: their overlaps
+with it and the shingles that one of its members alone has. So no link between candidates is lost.
 
 Rows: null and empty texts and texts without words have an empty set and link with nothing;
 so do rows with a null id. Repeated rows get equal results. Texts are read whole.
@@ -110,7 +110,7 @@ def _overlaps(width: int):
         for batch in batches:
             hubs, salts, roles, ids = (batch.column(i).to_pylist() for i in range(4))
             texts = _bytes_of(batch.column(4))
-            found = []
+            found: list[tuple] = []
             for part in in_chunks(texts, 2 << 20):
                 values, counts = shingle_sets(texts[part], width)
                 sets = np.split(values, np.cumsum(counts)[:-1])
@@ -120,17 +120,21 @@ def _overlaps(width: int):
                     elif current == (hubs[i], salts[i]) and len(hub_set):
                         at = np.minimum(np.searchsorted(hub_set, members), len(hub_set) - 1)
                         both = int((hub_set[at] == members).sum())
-                        found.append((hubs[i], ids[i], both, len(hub_set) + len(members) - both))
-            columns = list(zip(*found, strict=True)) or [[]] * 4
+                        outside = members[hub_set[at] != members].astype(np.int64)
+                        found.append((hubs[i], ids[i], both, len(hub_set) + len(members) - both, len(members), outside))
+            columns = list(zip(*found, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in columns], ["a", "b", "shared", "joint"]
+                [*[pa.array(c, pa.int64()) for c in columns[:5]], pa.array(columns[5], pa.list_(pa.int64()))],
+                ["a", "b", "shared", "joint", "size", "outside"],
             )
 
     return run
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """Exact intersection and union size of each pair ``(a, b)``; ``texts``: ``id, text``, ids unique.
+    """Exact intersection and union size of each pair ``(a, b)``, the size of b's set and its shingles outside a's.
+
+    ``texts``: ``id, text``, ids unique.
 
     A hub with many members is spread over several groups, its text repeated in each.
     """
@@ -148,7 +152,9 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
         .select("a", "salt", F.lit(0).alias("role"), "id", "text")
     )
     groups = members.unionByName(heads).repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "id")
-    return groups.mapInArrow(_overlaps(width), "a long, b long, shared long, joint long")
+    return groups.mapInArrow(
+        _overlaps(width), "a long, b long, shared long, joint long, size long, outside array<long>"
+    )
 
 
 def near_duplicates(
@@ -189,7 +195,7 @@ def near_duplicates(
     labels = connected_components(links)
     crossing = _crossing(placed, tested, labels, percent)
     if not crossing.isEmpty():
-        more = materialize(confirm(crossing, texts, width), "tested").where(linked).select("a", "b")
+        more = materialize(confirm(crossing, texts, width).where(linked).select("a", "b"), "links")
         labels = connected_components(links.unionByName(more))
     class_of = classes.select("digest", F.col("id").alias("first_id")).join(
         labels.withColumnRenamed("id", "first_id"), "first_id", "left"
@@ -209,28 +215,43 @@ def near_duplicates(
 
 
 def _crossing(placed: DataFrame, tested: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Untested candidate pairs in different components, written down."""
-    distance = tested.select(
-        F.col("a").alias("hub"), F.col("b").alias("id"), (1 - F.col("shared") / F.col("joint")).alias("distance")
+    """Candidate pairs of different components that may still link, written down.
+
+    Both members were compared with their bucket's hub. They share at most the smaller of their
+    two overlaps with the hub, and of the shingles outside the hub only such as more than one
+    member of the hub has. Pairs that cannot reach ``percent`` so are left out.
+    """
+    known = tested.select(F.col("a").alias("hub"), F.col("b").alias("id"), "shared", "size", "outside")
+    of_hub = labels.select(F.col("id").alias("hub"), F.col("component").alias("main"))
+    named = materialize(
+        known.join(labels, "id", "left")
+        .join(of_hub, "hub", "left")
+        .withColumns({"component": F.coalesce("component", "id"), "main": F.coalesce("main", "hub")}),
+        "named",
+    )
+    mixed = named.where("component <> main").select("hub").distinct()
+    inside = named.join(mixed, "hub", "left_semi")
+    alone = (
+        inside.select("hub", "id", F.explode("outside").alias("shingle"))
+        .groupBy("hub", "shingle")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
+        .where("n = 1")
+        .groupBy("hub", "id")
+        .agg(F.count(F.lit(1)).alias("alone"))
+    )
+    common = F.col("size") - F.col("shared") - F.coalesce("alone", F.lit(0))
+    stats = materialize(
+        inside.drop("outside").join(alone, ["hub", "id"], "left").withColumn("common", common).drop("alone"), "stats"
     )
-    labelled = (
-        placed.join(labels, "id", "left")
-        .join(distance, ["hub", "id"], "left")
-        .select(
-            "key",
-            "id",
-            "hub",
-            F.coalesce("component", "id").alias("component"),
-            F.coalesce("distance", F.lit(0.0)).alias("distance"),
-        )
+    labelled = materialize(placed.join(stats, ["hub", "id"]), "labelled")
+    open_rows = (F.col("component") != F.col("main")) & (
+        (F.col("shared") + F.col("common")) * 100 >= F.col("size") * percent
     )
-    labelled = materialize(labelled, "labelled")
-    at_hub = labelled.where("id = hub").select("key", F.col("component").alias("main"))
-    apart = materialize(labelled.join(at_hub, "key").where("component <> main").drop("main"), "apart")
-    x, y = apart.alias("x"), labelled.alias("y")
-    close = F.abs(F.col("x.distance") - F.col("y.distance")) <= (100 - percent) / 100 + 1e-9
+    x, y = labelled.where(open_rows).alias("x"), labelled.alias("y")
+    most = F.least("x.shared", "y.shared") + F.least("x.common", "y.common")
+    possible = most * 100 >= (F.col("x.size") + F.col("y.size") - most) * percent
     found = x.join(y, F.col("x.key") == F.col("y.key")).where(
-        (F.col("x.component") != F.col("y.component")) & (F.col("y.id") != F.col("y.hub")) & close
+        (F.col("x.component") != F.col("y.component")) & possible
     )
     pairs = found.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
     return materialize(pairs, "crossing")
