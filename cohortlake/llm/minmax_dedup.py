@@ -193,7 +193,7 @@ def near_duplicates(
     linked = F.col("shared") * 100 >= F.col("joint") * percent
     links = tested.where(linked).select("a", "b")
     labels = connected_components(links)
-    crossing = _crossing(placed, tested, labels, percent)
+    crossing = _crossing(tested, labels, percent)
     if not crossing.isEmpty():
         more = materialize(confirm(crossing, texts, width).where(linked).select("a", "b"), "links")
         labels = connected_components(links.unionByName(more))
@@ -214,10 +214,10 @@ def near_duplicates(
     )
 
 
-def _crossing(placed: DataFrame, tested: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of different components that may still link, written down.
+def _crossing(tested: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one hub's members in different components that may still link, written down.
 
-    Both members were compared with their bucket's hub. They share at most the smaller of their
+    They cover all pairs of a bucket, whose members all met its hub. They share at most the smaller of their
     two overlaps with the hub, and of the shingles outside the hub only such as more than one
     member of the hub has. Pairs that cannot reach ``percent`` so are left out.
     """
@@ -243,14 +243,13 @@ def _crossing(placed: DataFrame, tested: DataFrame, labels: DataFrame, percent:
     stats = materialize(
         inside.drop("outside").join(alone, ["hub", "id"], "left").withColumn("common", common).drop("alone"), "stats"
     )
-    labelled = materialize(placed.join(stats, ["hub", "id"]), "labelled")
     open_rows = (F.col("component") != F.col("main")) & (
         (F.col("shared") + F.col("common")) * 100 >= F.col("size") * percent
     )
-    x, y = labelled.where(open_rows).alias("x"), labelled.alias("y")
+    x, y = stats.where(open_rows).alias("x"), stats.alias("y")
     most = F.least("x.shared", "y.shared") + F.least("x.common", "y.common")
     possible = most * 100 >= (F.col("x.size") + F.col("y.size") - most) * percent
-    found = x.join(y, F.col("x.key") == F.col("y.key")).where(
+    found = x.join(y, F.col("x.hub") == F.col("y.hub")).where(
         (F.col("x.component") != F.col("y.component")) & possible
     )
     pairs = found.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
