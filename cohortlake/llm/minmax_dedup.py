@@ -31,6 +31,7 @@ from cohortlake.session import materialize
 PERMUTATIONS = 60
 MISSED = 1e-6
 MEMBERS_PER_TASK_GROUP = 256
+WANTED_IDS = 1_000_000
 BLOCK = 1 << 18
 
 
@@ -185,7 +186,9 @@ def near_duplicates(
     pairs = materialize(
         placed.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs"
     )
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    wanted = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
+    if wanted.limit(WANTED_IDS + 1).count() <= WANTED_IDS:
+        wanted = F.broadcast(wanted)  # else the texts are shuffled
     whole = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     # Rows that repeat an id repeat its text; the smallest stands for them.
     texts = materialize(whole.join(wanted, "id").groupBy("id").agg(F.min("text").alias("text")), "texts")
