@@ -55,9 +55,10 @@ def signif(column: Column | str, digits: int) -> Column:
 
 
 def number_text(column: Column | str) -> Column:
-    """Plain decimal text without trailing zeros."""
-    fixed = _col(column).cast("decimal(30,10)").cast("string")
-    return F.regexp_replace(fixed, r"\.?0+$", "")
+    """Plain decimal text without trailing zeros; scientific where ten decimals would lose the number."""
+    x = _col(column)
+    plain = F.regexp_replace(x.cast("decimal(30,10)").cast("string"), r"\.?0+$", "")
+    return F.when((x != 0) & (F.abs(x) < 1e-7), F.regexp_replace(x.cast("string"), r"\.0E", "E")).otherwise(plain)
 
 
 def interval_label(middle: Column | str, low: Column | str, high: Column | str, digits: int = 3) -> Column:

@@ -69,8 +69,8 @@ def normal_quantile_sql(p: str) -> str:
 
 
 def two_sided_p(z: str) -> Column:
-    """Two-sided normal p of the column named ``z``."""
-    return F.expr(two_sided_p_sql(z))
+    """Two-sided normal p of the column named ``z``; null where that is null."""
+    return F.when(F.col(z).isNotNull(), F.expr(two_sided_p_sql(z)))
 
 
 def normal_quantile(p: str) -> Column:
@@ -98,13 +98,14 @@ def chi_square_p(statistic: str, dof: str) -> Column:
     """Upper tail of the chi-square law: a finite sum for any whole degree of freedom.
 
     Even: ``exp(-h) * sum h^i / i!``. Odd: ``erfc(sqrt(h))`` plus the same with half
-    powers; ``h`` is half the statistic.
+    powers; ``h`` is half the statistic. Terms are carried as logarithms, so large
+    statistics do not vanish before the terms that count.
     """
     h = F.col(statistic) / 2
     steps = F.floor(F.col(dof) / 2).cast("int")
     odd = F.col(dof) % 2 == 1
     state = F.struct(
-        F.when(odd, F.exp(-h) * F.sqrt(h) * 2 / math.sqrt(math.pi)).otherwise(F.exp(-h)).alias("term"),
+        F.when(odd, F.log(h) / 2 - h + math.log(2 / math.sqrt(math.pi))).otherwise(-h).alias("term"),
         F.lit(0.0).alias("sum"),
     )
     offset = F.when(odd, F.lit(1.5)).otherwise(F.lit(1.0))
@@ -112,10 +113,11 @@ def chi_square_p(statistic: str, dof: str) -> Column:
         F.sequence(F.lit(0), steps),
         state,
         lambda s, i: F.struct(
-            F.when(i < steps, s["term"] * h / (i + offset)).otherwise(s["term"]).alias("term"),
-            F.when(i < steps, s["sum"] + s["term"]).otherwise(s["sum"]).alias("sum"),
+            (s["term"] + F.log(h) - F.log(i + offset)).alias("term"),
+            F.when(i < steps, s["sum"] + F.exp(s["term"])).otherwise(s["sum"]).alias("sum"),
         ),
         lambda s: s["sum"],
     )
     root = f"sqrt({statistic} / 2)"
-    return F.when(odd, F.expr(erfc_sql(root)) + series).otherwise(series)
+    tail = F.when(odd, F.expr(erfc_sql(root)) + series).otherwise(series)
+    return F.when(h <= 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), tail))

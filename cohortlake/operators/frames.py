@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlake.operators.ranks import with_position
-from cohortlake.operators.skew import keep_groups, skew_join, with_one_row
+from cohortlake.operators.skew import join_null_safe, keep_groups, skew_join, with_one_row
 from cohortlake.session import cut_lineage
 
 
@@ -171,7 +171,7 @@ def complete_grid(df: DataFrame, left: Sequence[str], right: Sequence[str], valu
     """All combinations of two key sets, with a fill value where the table has no row."""
     grid = key_grid(df.select(*left), df.select(*right))
     return (
-        grid.join(df.select(*left, *right, value), [*left, *right], "left")
+        join_null_safe(grid, df.select(*left, *right, value), [*left, *right], "left")
         .select(*left, *right, F.coalesce(F.col(value), F.lit(fill)).alias(value))
     )
 

@@ -1,7 +1,8 @@
 """Posterior draws: summaries, intervals, convergence diagnostics.
 
 Draws are long rows (param, chain, iter, draw) with ``iter`` running 1..n in each
-chain of a parameter. Chains of unequal length are cut to the shortest.
+chain of a parameter, or any other numbers in that order: only positions count. Chains of
+unequal length are cut to the shortest.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cohortlake.functions.labels import first_number
 from cohortlake.functions.normal import normal_quantile
-from cohortlake.operators.ranks import exact_quantiles, running_total, value_counts
+from cohortlake.operators.ranks import exact_quantiles, running_total, value_counts, with_position
 from cohortlake.operators.skew import join_null_safe, skew_join
 from cohortlake.session import cut_lineage
 
@@ -57,7 +58,8 @@ def hpdi(df: DataFrame, keys: Sequence[str], draw: str, prob: float, order: Sequ
     ranked = running_total(
         df.where(F.col(draw).isNotNull()), keys, [F.col(draw), *order], with_totals=True, _at=F.lit(1).cast("long")
     ).select(*keys, F.col(draw).alias("_draw"), "_at", F.col("_at_total").alias("_n"))
-    gap = F.greatest(F.lit(1), F.least(F.col("_n") - 1, F.bround(F.col("_n") * F.lit(prob)).cast("long")))
+    # One draw is an interval of its own.
+    gap = F.greatest(F.least(F.lit(1), F.col("_n") - 1), F.least(F.col("_n") - 1, F.bround(F.col("_n") * F.lit(prob)).cast("long")))
     low = ranked.select(*keys, F.col("_draw").alias("hpdi_low"), (F.col("_at") + gap).alias("_at"))
     high = ranked.select(*keys, F.col("_draw").alias("hpdi_high"), "_at")
     spans = join_null_safe(low, high, [*keys, "_at"])
@@ -74,8 +76,11 @@ def _shape(draws: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _cut(draws: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Draws with ``chains`` and ``n``, without the rows past the shortest chain."""
-    return skew_join(draws, cut_lineage(_shape(draws, keys)), keys, rows="_rows").where(F.col("iter") <= F.col("n"))
+    """Draws with ``chains`` and ``n``, ``iter`` renumbered 1, 2, ... in each chain, none past the shortest."""
+    placed = cut_lineage(
+        with_position(draws.withColumnRenamed("iter", "_iter"), [*keys, "chain"], [F.col("_iter")], "iter").drop("_iter")
+    )
+    return skew_join(placed, cut_lineage(_shape(placed, keys)), keys, rows="_rows").where(F.col("iter") <= F.col("n"))
 
 
 def _rhat_of(cut: DataFrame, keys: Sequence[str], draw: str) -> DataFrame:
@@ -199,7 +204,7 @@ def effective_size(draws: DataFrame, keys: Sequence[str] = ("param",), first_lag
         )
         known = fresh if known is None else known.unionByName(fresh)
         total = (F.col("n") - 1) / F.col("n") * F.col("_within") + F.col("_between")
-        rho = F.when(F.col("lag") == 0, F.lit(1.0)).otherwise(
+        rho = F.when(F.col("lag") == 0, F.when(total > 0, F.lit(1.0))).otherwise(
             1 - (F.col("_within") - F.col("s") / F.col("n") / F.col("chains")) / F.nullif(total, F.lit(0.0))
         )
         pairs = (
@@ -221,7 +226,11 @@ def effective_size(draws: DataFrame, keys: Sequence[str] = ("param",), first_lag
         )
         open_params = ended.where((F.col("_end") > 0) & (F.col("n") > last + 1))
         if last + 1 >= longest or open_params.isEmpty():
-            size = F.col("chains") * F.col("n") / (2 * F.col("_sum") - 1)
+            # Draws that swing around their mean carry more than one draw each, within a bound.
+            draws_in_all = F.col("chains") * F.col("n")
+            least = 1 / F.log10(F.greatest(draws_in_all, F.lit(10)))
+            size = draws_in_all / F.greatest(2 * F.col("_sum") - 1, least)
+            size = F.when(F.col("_sum").isNotNull(), size)
             return ended.select(*keys, "chains", "n", size.alias("n_eff"))
         first, last = last + 1, min(2 * (last + 1), longest) - 1
 
@@ -258,12 +267,16 @@ def energy_fraction(sampler: DataFrame, limit: float = 0.2) -> DataFrame:
     """Per chain: squared energy steps over energy variance, divided by the row count.
 
     Steps are taken inside blocks of iterations; the last row of a block is copied
-    into the next, so every step is seen once and no task sorts a whole chain.
+    into the next, so every step is seen once and no task sorts a whole chain. Blocks
+    go by position, so iteration numbers may have gaps.
     """
     size = LAG_BLOCK
+    placed = with_position(
+        sampler.select("chain", F.col("iter").alias("_iter"), "energy"), ["chain"], [F.col("_iter")], "iter"
+    )
     block = F.floor(F.col("iter") / size)
     lead_in = F.when(F.col("iter") % size == size - 1, F.array(block, block + 1)).otherwise(F.array(block))
-    blocks = sampler.select("chain", "iter", "energy", F.explode(lead_in).alias("_block"))
+    blocks = placed.select("chain", "iter", "energy", F.explode(lead_in).alias("_block"))
     inside = Window.partitionBy("chain", "_block").orderBy("iter")
     step = F.col("energy") - F.lag("energy").over(inside)
     steps = (

@@ -40,34 +40,31 @@ def wilcoxon_ranksum(df: DataFrame, group: str, variables: Sequence[str]) -> Dat
     n = n1 + n2
     w = F.col("_r") - n1 * (n1 + 1) / 2
     shift = w - n1 * n2 / 2
-    sigma = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("_ties") / (n * (n - 1))))
+    # Null where there is no test: an empty group, or one value only.
+    sigma = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.try_divide(F.col("_ties"), n * (n - 1))))
     scored = sums.select(
-        "variable", "n_first", "n_second", w.alias("w"), ((shift - F.signum(shift) * 0.5) / sigma).alias("z")
+        "variable", "n_first", "n_second", w.alias("w"), F.try_divide(shift - F.signum(shift) * 0.5, sigma).alias("z")
     )
     return scored.withColumn("p_value", two_sided_p("z"))
 
 
-# Cells further from the mean than this many standard deviations have no weight in a double.
-FISHER_REACH = 40
+FISHER_CHUNK = 4096
 
 
 def fisher_exact(df: DataFrame, keys: Sequence[str], a: str, b: str, c: str, d: str) -> DataFrame:
     """Two-sided Fisher exact p of each 2x2 table, one table per row.
 
     Sums the probability of every table with the same margins that is no likelier
-    than the observed one.
+    than the observed one. All of them are enumerated, in chunks, so no row holds more
+    than ``FISHER_CHUNK`` at a time.
     """
     top, bottom = F.col(a) + F.col(b), F.col(c) + F.col(d)
     left = F.col(a) + F.col(c)
     margins = df.select(
         *keys, F.col(a).alias("_a"), top.alias("_r1"), bottom.alias("_r2"), left.alias("_c1"), (top + bottom).alias("_n")
     )
-    mean = F.col("_r1") * F.col("_c1") / F.col("_n")
-    sd = F.sqrt(
-        mean * (F.col("_r2") / F.col("_n")) * (F.col("_n") - F.col("_c1")) / F.greatest(F.col("_n") - 1, F.lit(1))
-    )
-    low = F.greatest(F.lit(0), F.col("_c1") - F.col("_r2"), F.floor(mean - FISHER_REACH * sd) - 1)
-    high = F.least(F.col("_r1"), F.col("_c1"), F.ceil(mean + FISHER_REACH * sd) + 1)
+    low = F.greatest(F.lit(0), F.col("_c1") - F.col("_r2")).cast("long")
+    high = F.least(F.col("_r1"), F.col("_c1")).cast("long")
     fixed = (
         log_factorial(F.col("_r1"))
         + log_factorial(F.col("_r2"))
@@ -89,7 +86,9 @@ def fisher_exact(df: DataFrame, keys: Sequence[str], a: str, b: str, c: str, d:
         margins.where(F.col("_n") > 0)
         .withColumn("_fixed", fixed)
         .withColumn("_seen", log_p(F.col("_a")))
-        .withColumn("_k", F.explode(F.sequence(low.cast("long"), high.cast("long"))))
+        .withColumn("_high", high)
+        .withColumn("_from", F.explode(F.sequence(low, F.col("_high"), F.lit(FISHER_CHUNK).cast("long"))))
+        .withColumn("_k", F.explode(F.sequence("_from", F.least("_high", F.col("_from") + (FISHER_CHUNK - 1)))))
         .withColumn("_p", log_p(F.col("_k")))
     )
     likely = F.when(F.col("_p") <= F.col("_seen") + 1e-7, F.exp("_p")).otherwise(F.lit(0.0))

@@ -67,6 +67,8 @@ def skew_join(
     if hot is None:
         return join_null_safe(fact, plain, keys, how)
     # Equal rows differ by the partition they are read from, which a retried task keeps.
+    if how not in ("inner", "left", "left_outer", "left_semi", "left_anti"):
+        raise ValueError("salting would repeat the keyed side's unmatched rows")
     salt = F.xxhash64(*fact.columns, F.spark_partition_id())
     salted_fact = (
         join_null_safe(fact, hot, keys, "left")

@@ -61,18 +61,22 @@ def sorted_rows(df: DataFrame, order: Sequence[Column], out: str = "row") -> Dat
 def histogram_log10(
     df: DataFrame, keys: Sequence[str], value: str, low: float, width: float, bins: int
 ) -> DataFrame:
-    """Counts in fixed bins of log10(value) per group, with empty bins as zero."""
-    at = F.floor((F.log10(value) - low) / width).cast("int")
+    """Counts in fixed bins of log10(value) per group, with empty bins as zero.
+
+    Values below the first bin count in bin -1, values beyond the last in bin ``bins``;
+    these two rows are there only where they hold something.
+    """
+    at = F.least(F.greatest(F.floor((F.log10(value) - low) / width), F.lit(-1)), F.lit(bins)).cast("int")
     filled = (
         df.where(F.col(value) > 0)
         .withColumn("bin", at)
-        .where((F.col("bin") >= 0) & (F.col("bin") < bins))
         .groupBy(*keys, "bin")
         .agg(F.count(F.lit(1)).alias("n"))
     )
     groups = df.where(F.col(value) > 0).select(*keys).distinct()
     grid = groups.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    return grid.join(filled, [*keys, "bin"], "left").select(
+    grid = grid.unionByName(filled.where(~F.col("bin").between(0, bins - 1)).select(*keys, "bin"))
+    return join_null_safe(grid, filled, [*keys, "bin"], "left").select(
         *keys, "bin", (F.lit(low) + F.col("bin") * width).alias("edge"), F.coalesce("n", F.lit(0)).alias("n")
     )
 
@@ -82,22 +86,30 @@ def density_grid(df: DataFrame, keys: Sequence[str], value: str, points: int, bi
 
     Values are first counted in ``bins`` narrow bins per group, so the kernel is
     summed over bounded bins whatever the group holds. Bandwidth is the usual
-    ``0.9 * min(sd, IQR / 1.34) * n ** -0.2``.
+    ``0.9 * min(sd, IQR / 1.34) * n ** -0.2``; where that minimum is 0 it is the deviation,
+    else the size of a value, else 1.
     """
     spread = exact_quantiles(df, keys, value, {"_q1": 0.25, "_q3": 0.75})
     moments = df.groupBy(*keys).agg(
         F.count(value).alias("_n"), F.stddev_samp(value).alias("_sd"), F.min(value).alias("_lo"), F.max(value).alias("_hi")
     )
-    shape = join_null_safe(moments, spread, keys).select(
+    scale = F.coalesce(
+        F.nullif(F.least("_sd", (F.col("_q3") - F.col("_q1")) / 1.34), F.lit(0.0)),
+        F.nullif(F.col("_sd"), F.lit(0.0)),
+        F.nullif(F.abs("_lo"), F.lit(0.0)),
+        F.lit(1.0),
+    )
+    shape = join_null_safe(moments.where(F.col("_n") > 0), spread, keys).select(
         *keys,
         "_n",
         "_lo",
         ((F.col("_hi") - F.col("_lo")) / bins).alias("_bin_width"),
         ((F.col("_hi") - F.col("_lo")) / (points - 1)).alias("_step"),
-        (F.lit(0.9) * F.least("_sd", (F.col("_q3") - F.col("_q1")) / 1.34) * F.pow(F.col("_n"), F.lit(-0.2))).alias("_bw"),
+        (F.lit(0.9) * scale * F.pow(F.col("_n"), F.lit(-0.2))).alias("_bw"),
     )
     shape = cut_lineage(shape)
-    at = F.least(F.floor((F.col(value) - F.col("_lo")) / F.col("_bin_width")), F.lit(bins - 1))
+    place = F.coalesce(F.try_divide(F.col(value) - F.col("_lo"), F.col("_bin_width")), F.lit(0.0))
+    at = F.least(F.floor(place), F.lit(bins - 1))
     binned = (
         skew_join(df.where(F.col(value).isNotNull()), shape, keys)
         .groupBy(*keys, "_n", "_lo", "_bin_width", "_step", "_bw", at.alias("_bin"))

@@ -90,9 +90,10 @@ def _(spark, d):
     "histogram_log10",
     """
     SELECT g.event_type, CAST(b AS INTEGER) AS bin, round((-1 + b * 0.25)::DOUBLE, 6) AS edge, coalesce(n, 0) AS n
-    FROM (SELECT DISTINCT event_type FROM events WHERE value > 0) g CROSS JOIN range(20) r(b) LEFT JOIN (
-        SELECT event_type, CAST(floor((log10(value) + 1) / 0.25) AS INTEGER) AS bin, count(*) AS n
-        FROM events WHERE value > 0 GROUP BY ALL) c ON c.event_type = g.event_type AND c.bin = b""",
+    FROM (SELECT DISTINCT event_type FROM events WHERE value > 0) g CROSS JOIN range(-1, 21) r(b) LEFT JOIN (
+        SELECT event_type, CAST(greatest(-1, least(20, floor((log10(value) + 1) / 0.25))) AS INTEGER) AS bin, count(*) AS n
+        FROM events WHERE value > 0 GROUP BY ALL) c ON c.event_type = g.event_type AND c.bin = b
+    WHERE b BETWEEN 0 AND 19 OR n > 0""",
 )
 def _(spark, d):
     out = S.histogram_log10(table(spark, d, "events"), ["event_type"], "value", -1.0, 0.25, 20)
