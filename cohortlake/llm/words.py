@@ -102,7 +102,7 @@ def shingle_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray
     return values[fresh], np.bincount(owner[fresh], minlength=len(texts))
 
 
-def in_chunks(texts: list, limit: int = 4 << 20):
+def in_chunks(texts: list, limit: int = 1 << 20):
     """Slices of the list holding about ``limit`` bytes each, so that memory stays bounded."""
     begin = size = 0
     for i, text in enumerate(texts):
