@@ -15,15 +15,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cohortlake.llm.words import in_chunks, segment_hashes
+from cohortlake.llm.words import in_chunks, segment_hashes, slices
 
 MARK = "▁"
 _NONE = np.int32(np.iinfo(np.int32).max)
 _CODE_POINTS = 0x110000
-CACHED_WORDS = 600_000
+CACHED_WORDS = 300_000
+CHUNK = 1 << 19
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
@@ -326,21 +330,37 @@ class PieceTables:
         return "".join(text)
 
 
-def encode_column(df: DataFrame, tables: PieceTables, text: str = "text", out: str = "ids") -> DataFrame:
-    """Add the ids of each text, begin and end ids included, as packed ``<u4`` bytes."""
+def code_columns(
+    df: DataFrame, tables: PieceTables, text: str = "text", ids: str = "ids", decoded: str | None = "decoded"
+) -> DataFrame:
+    """Add each text's ids, begin and end ids included, as packed ``<u4`` bytes, and the text they decode to.
+
+    Both happen in one pass, in slices of ``CHUNK`` bytes, so a worker holds one batch of rows and
+    one slice of results.
+    """
     shared = df.sparkSession.sparkContext.broadcast(tables.state())
+    at = df.columns.index(text)
 
-    @F.pandas_udf("binary")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tables = PieceTables.of(shared.value)
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = PieceTables.of(shared.value)
         for batch in batches:
-            texts = [t or "" for t in batch]
-            packed: list[bytes] = []
-            for part in in_chunks(texts):
-                packed += tables.encode(texts[part], tables.cache)
-            yield pd.Series(packed, dtype=object)
+            sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+            for part in slices(sizes, CHUNK):
+                rows = batch.slice(part.start, part.stop - part.start)
+                packed = coder.encode([t or "" for t in rows.column(at).to_pylist()], coder.cache)
+                added = [pa.array(packed, pa.binary())]
+                if decoded:
+                    added.append(pa.array(coder.decode(packed), pa.string()))
+                names = [*rows.schema.names, ids, *([decoded] if decoded else [])]
+                yield pa.RecordBatch.from_arrays([*rows.columns, *added], names)
 
-    return df.withColumn(out, encode(F.col(text)))
+    fields = [T.StructField(ids, T.BinaryType())] + ([T.StructField(decoded, T.StringType())] if decoded else [])
+    return df.mapInArrow(code, T.StructType([*df.schema.fields, *fields]))
+
+
+def encode_column(df: DataFrame, tables: PieceTables, text: str = "text", out: str = "ids") -> DataFrame:
+    """Add the ids of each text, begin and end ids included, as packed ``<u4`` bytes."""
+    return code_columns(df, tables, text, out, None)
 
 
 def decode_column(df: DataFrame, tables: PieceTables, ids: str = "ids", out: str = "decoded") -> DataFrame:

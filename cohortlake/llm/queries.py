@@ -49,7 +49,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, and the text they decode to, as digests."""
     tables = piece_codec.PieceTables(tokenizer_path())
     texts = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = piece_codec.decode_column(piece_codec.encode_column(texts, tables), tables)
+    coded = piece_codec.code_columns(texts, tables)
     return coded.select(
         "doc_id",
         F.expr("CAST(octet_length(ids) DIV 4 AS BIGINT)").alias("n_tokens"),

@@ -102,16 +102,21 @@ def shingle_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray
     return values[fresh], np.bincount(owner[fresh], minlength=len(texts))
 
 
-def in_chunks(texts: list, limit: int = 1 << 20):
-    """Slices of the list holding about ``limit`` bytes each, so that memory stays bounded."""
-    begin = size = 0
-    for i, text in enumerate(texts):
-        size += len(text) + 1
-        if size >= limit:
+def slices(sizes, limit: int):
+    """Slices of rows whose sizes add up to about ``limit``, so that memory stays bounded."""
+    begin = held = 0
+    for i, size in enumerate(sizes):
+        held += size + 1
+        if held >= limit:
             yield slice(begin, i + 1)
-            begin, size = i + 1, 0
-    if begin < len(texts):
-        yield slice(begin, len(texts))
+            begin, held = i + 1, 0
+    if begin < len(sizes):
+        yield slice(begin, len(sizes))
+
+
+def in_chunks(texts: list, limit: int = 1 << 20):
+    """Slices of the list holding about ``limit`` bytes each."""
+    return slices([len(t) for t in texts], limit)
 
 
 def fold_ascii(text: Column) -> Column:

@@ -40,7 +40,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each text as packed bytes, their number, and a digest of the text they decode to."""
     tables = piece_codec.PieceTables(tokenizer_path())
-    coded = piece_codec.decode_column(piece_codec.encode_column(docs, tables), tables)
+    coded = piece_codec.code_columns(docs.select("doc_id", "lang", "source", "text"), tables)
     return coded.select(
         "doc_id",
         "lang",
