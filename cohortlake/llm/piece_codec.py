@@ -331,13 +331,20 @@ class PieceTables:
 
 
 def code_columns(
-    df: DataFrame, tables: PieceTables, text: str = "text", ids: str = "ids", decoded: str | None = "decoded"
+    df: DataFrame,
+    tables: PieceTables,
+    text: str = "text",
+    ids: str = "ids",
+    decoded: str | None = "decoded",
+    id_bytes: int = 4,
 ) -> DataFrame:
     """Add each text's ids, begin and end ids included, as packed ``<u4`` bytes, and the text they decode to.
 
     Both happen in one pass, in slices of ``CHUNK`` bytes, so a worker holds one batch of rows and
-    one slice of results.
+    one slice of results. ``id_bytes`` 2 packs the ids as ``<u2``, for vocabularies that fit.
     """
+    if id_bytes not in (2, 4) or tables.size > 1 << 8 * id_bytes:
+        raise ValueError("ids take 4 bytes, or 2 where the vocabulary fits")
     shared = df.sparkSession.sparkContext.broadcast(tables.state())
     at = df.columns.index(text)
 
@@ -348,9 +355,10 @@ def code_columns(
             for part in slices(sizes, CHUNK):
                 rows = batch.slice(part.start, part.stop - part.start)
                 packed = coder.encode([t or "" for t in rows.column(at).to_pylist()], coder.cache)
-                added = [pa.array(packed, pa.binary())]
-                if decoded:
-                    added.append(pa.array(coder.decode(packed), pa.string()))
+                texts = [pa.array(coder.decode(packed), pa.string())] if decoded else []
+                if id_bytes == 2:
+                    packed = [np.frombuffer(p, "<u4").astype("<u2").tobytes() for p in packed]
+                added = [pa.array(packed, pa.binary()), *texts]
                 names = [*rows.schema.names, ids, *([decoded] if decoded else [])]
                 yield pa.RecordBatch.from_arrays([*rows.columns, *added], names)
 
@@ -358,9 +366,11 @@ def code_columns(
     return df.mapInArrow(code, T.StructType([*df.schema.fields, *fields]))
 
 
-def encode_column(df: DataFrame, tables: PieceTables, text: str = "text", out: str = "ids") -> DataFrame:
-    """Add the ids of each text, begin and end ids included, as packed ``<u4`` bytes."""
-    return code_columns(df, tables, text, out, None)
+def encode_column(
+    df: DataFrame, tables: PieceTables, text: str = "text", out: str = "ids", id_bytes: int = 4
+) -> DataFrame:
+    """Add the ids of each text, begin and end ids included, as packed ``<u4`` (or ``<u2``) bytes."""
+    return code_columns(df, tables, text, out, None, id_bytes)
 
 
 def decode_column(df: DataFrame, tables: PieceTables, ids: str = "ids", out: str = "decoded") -> DataFrame:

@@ -72,11 +72,12 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each document, counted from flat token files of the whole table."""
     tables = piece_codec.PieceTables(tokenizer_path())
-    coded = piece_codec.encode_column(table(spark, sf_dir, "documents").select("text"), tables)
-    bare = coded.select(F.expr("substring(ids, 5, octet_length(ids) - 8)").alias("ids"))
+    width = 2 if tables.size <= 1 << 16 else 4
+    coded = piece_codec.encode_column(table(spark, sf_dir, "documents").select("text"), tables, id_bytes=width)
+    bare = coded.select(F.expr(f"substring(ids, {width + 1}, octet_length(ids) - {2 * width})").alias("ids"))
     path = fresh_path(spark, "tokens")
-    token_files.write_token_files(bare, "ids", path, tables.end)
-    counted = token_files.count_documents(token_files.read_blocks(spark, path), tables.end)
+    token_files.write_token_files(bare, "ids", path, tables.end, id_bytes=width)
+    counted = token_files.count_documents(token_files.read_blocks(spark, path, id_bytes=width), tables.end, width)
     name = F.regexp_extract("file", "part-([0-9]+).*-c([0-9]+)[.]", 1)
     part = F.regexp_extract("file", "part-([0-9]+).*-c([0-9]+)[.]", 2)
     return counted.select(

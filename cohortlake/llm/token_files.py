@@ -1,11 +1,11 @@
 """Token counts from flat token files by a separator scan.
 
-A flat file holds little-endian 32-bit ids, document after document, each ended by an
-end-of-document id; there is no index. Files are cut into fixed blocks, each block is searched
+A flat file holds little-endian ids of 4 bytes, or of 2 where the vocabulary fits (``id_bytes``),
+document after document, each ended by an end-of-document id; there is no index. Files are cut into fixed blocks, each block is searched
 for the id at once, and a prefix scan over the blocks of a file stitches the documents that
 run over block ends.
 
-Writing goes through Spark's text writer with the four bytes of the end id as line separator,
+Writing goes through Spark's text writer with the bytes of the end id as line separator,
 so it reaches any store Spark reaches. Reading uses the binary-file source, which holds one
 file in memory: keep files small (``documents_per_file``).
 
@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 BLOCK_TOKENS = 1 << 18
 
 
-def write_token_files(df: DataFrame, ids: str, path: str, end_id: int, documents_per_file: int = 2000) -> None:
-    """Write packed ids (``<u4`` bytes without end id; null: none) as flat files under ``path``."""
-    separator = int(end_id).to_bytes(4, "little")
+def write_token_files(
+    df: DataFrame, ids: str, path: str, end_id: int, documents_per_file: int = 2000, id_bytes: int = 4
+) -> None:
+    """Write packed ids (``id_bytes`` each, without end id; null: none) as flat files under ``path``."""
+    separator = int(end_id).to_bytes(id_bytes, "little")
     if max(separator) > 127:
         raise ValueError("each byte of the end id must be below 128")
     content = F.coalesce(F.col(ids), F.lit(b"")).cast("string")
@@ -37,10 +39,10 @@ def write_token_files(df: DataFrame, ids: str, path: str, end_id: int, documents
     )
 
 
-def read_blocks(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def read_blocks(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS, id_bytes: int = 4) -> DataFrame:
     """``file, block, data``: the files under ``path`` in fixed blocks."""
     files = spark.read.format("binaryFile").load(path).where("length > 0").select("path", "length", "content")
-    step = 4 * block_tokens
+    step = id_bytes * block_tokens
     return files.select(
         F.col("path").alias("file"),
         "content",
@@ -48,16 +50,16 @@ def read_blocks(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS
     ).select("file", F.col("block").cast("long"), F.expr(f"substring(content, CAST(block * {step} + 1 AS INT), {step})").alias("data"))
 
 
-def count_documents(blocks: DataFrame, end_id: int) -> DataFrame:
+def count_documents(blocks: DataFrame, end_id: int, id_bytes: int = 4) -> DataFrame:
     """``file, doc_no, first_token, n_tokens, closed`` of every document, from ``file, block, data``."""
 
     def scan(batches):
         for batch in batches:
             rows = []
             for data in batch.column(2).to_pylist():
-                if len(data) % 4:
-                    raise ValueError("a token file is not a whole number of 32-bit ids")
-                tokens = np.frombuffer(data, "<u4")
+                if len(data) % id_bytes:
+                    raise ValueError("a token file is not a whole number of ids")
+                tokens = np.frombuffer(data, f"<u{id_bytes}")
                 rows.append((len(tokens), np.flatnonzero(tokens == end_id).astype(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [

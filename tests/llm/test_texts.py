@@ -45,6 +45,14 @@ def test_any_ids_decode_as_in_the_library(tables, library):
         assert tables.decode([np.array(ids, "<u4").tobytes()]) == [library.decode(ids)]
 
 
+def test_narrow_ids_are_the_same_ids(spark, tables):
+    df = documents(spark).select("text")
+    wide = piece_codec.code_columns(df, tables).collect()
+    narrow = piece_codec.code_columns(df, tables, id_bytes=2).collect()
+    for w, n in zip(wide, narrow, strict=True):
+        assert np.frombuffer(w.ids, "<u4").tolist() == np.frombuffer(n.ids, "<u2").tolist() and w.decoded == n.decoded
+
+
 def test_a_full_cache_changes_nothing(tables, monkeypatch):
     texts = [f"word{i} other{i * 7}" for i in range(300)]
     want = tables.encode(texts, piece_codec.WordCache())
@@ -85,12 +93,14 @@ def test_documents_over_block_ends(spark, size):
     ]
 
 
-def test_written_files_hold_the_counts(spark, tables, library):
+@pytest.mark.parametrize("width", [2, 4])
+def test_written_files_hold_the_counts(spark, tables, library, width):
     df = documents(spark).select("text").repartition(3)
-    coded = piece_codec.encode_column(df, tables).select(F.expr("substring(ids, 5, octet_length(ids) - 8)").alias("ids"))
+    coded = piece_codec.encode_column(df, tables, id_bytes=width)
+    bare = coded.select(F.expr(f"substring(ids, {width + 1}, octet_length(ids) - {2 * width})").alias("ids"))
     path = fresh_path(spark, "tokens")
-    token_files.write_token_files(coded, "ids", path, tables.end, documents_per_file=7)
-    found = token_files.count_documents(token_files.read_blocks(spark, path, 64), tables.end).collect()
+    token_files.write_token_files(bare, "ids", path, tables.end, documents_per_file=7, id_bytes=width)
+    found = token_files.count_documents(token_files.read_blocks(spark, path, 64, width), tables.end, width).collect()
     want = sorted(len(library.encode(r.text or "")) for r in df.collect())
     assert sorted(r.n_tokens for r in found) == want and all(r.closed for r in found)
     assert max(r.doc_no for r in found) == 6
