@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlake.llm.words import SPACES, bind, fold_ascii, free_name, split_words, trim_spaces
+from cohortlake.llm.words import SPACES, bind, count_words, fold_ascii, split_words, trim_spaces
 from cohortlake.operators.skew import skew_join
 from cohortlake.session import materialize
 
@@ -122,6 +122,17 @@ def base_counts(text: Column) -> dict[str, Column]:
     }
 
 
+def line_hash(line: Column) -> Column:
+    """Hash of the normalised line."""
+    return F.xxhash64(F.regexp_replace(fold_ascii(trim_spaces(line)), "[0-9]", "0"))
+
+
+def without_lines(text: Column, dropped: Column) -> Column:
+    """The text without the lines whose hashes are in ``dropped``; unchanged where that is null."""
+    lines = F.filter(F.split(text, "\n", -1), lambda x: (trim_spaces(x) == "") | ~F.array_contains(dropped, line_hash(x)))
+    return F.when(dropped.isNull(), text).otherwise(F.array_join(lines, "\n"))
+
+
 def frequent_lines(df: DataFrame, host: str, text: str, id_col: str, line_percent: int, least_documents: int) -> DataFrame:
     """``host, line, first_id, lines`` of the lines above the limit."""
     lines = _lines(df, host, text, id_col)
@@ -145,23 +156,17 @@ def frequent_lines(df: DataFrame, host: str, text: str, id_col: str, line_percen
 
 
 def _lines(df: DataFrame, host: str, text: str, id_col: str) -> DataFrame:
-    """``id, host, content, row, line, words``: the lines with a word of each document, hashed."""
+    """``id, host, content, line``: the lines with a word of each document, hashed."""
     normal = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda x: trim_spaces(x) != "")
-    hashed = F.transform(
-        normal,
-        lambda x: F.struct(
-            F.xxhash64(F.regexp_replace(fold_ascii(trim_spaces(x)), "[0-9]", "0")).alias("line"),
-            F.size(split_words(x)).alias("words"),
-        ),
-    )
     return df.select(
         F.col(id_col).alias("id"), F.col(host).alias("host"), F.xxhash64(text).alias("content"),
-        F.monotonically_increasing_id().alias("row"), F.explode(hashed).alias("l"),
-    ).select("id", "host", "content", "row", "l.line", "l.words")
+        F.explode(F.transform(normal, line_hash)).alias("line"),
+    )
 
 
-def judge(
+def _verdicts(
     df: DataFrame,
+    carried: list[str],
     id_col: str = "doc_id",
     text: str = "text",
     host: str = "source",
@@ -171,40 +176,52 @@ def judge(
     least_documents: int = 20,
     depleted_percent: int = 80,
 ) -> DataFrame:
-    """``id, content`` (a hash of the text), the base counts, ``removed_words``, ``base_failed``, ``kept``."""
+    """What ``judge`` says of each row, and ``carried``: a struct of these columns of the table."""
     frequent = materialize(frequent_lines(df, host, text, id_col, line_percent, least_documents), "frequent")
     found = skew_join(_lines(df, host, text, id_col), frequent, ["host", "line"], rows="rows")
-    # A repeated row brings its lines again; the share of one row is what counts.
+    # A document's removed lines are bounded by its text; repeated rows share one row here.
     removed = (
         found.where(~F.coalesce(F.col("id") == F.col("first_id"), F.lit(False)))
-        .groupBy("id", "content", "row")
-        .agg(F.sum("words").alias("removed"))
-        .groupBy(F.col("id").alias("r_id"), F.col("content").alias("r_content"))
-        .agg(F.max("removed").alias("removed"))
+        .groupBy(F.col("id").alias("r_id"), F.col("host").alias("r_host"), F.col("content").alias("r_content"))
+        .agg(F.collect_set("line").alias("dropped"))
     )
-    counts = df.select(
+    rows = df.select(
         F.col(id_col).alias("id"),
+        F.col(host).alias("host"),
         F.xxhash64(text).alias("content"),
+        F.col(text).alias("whole"),
+        F.struct(F.lit(0).alias("_none"), *carried).alias("carried"),
         *[c.alias(name) for name, c in base_counts(F.col(text)).items()],
     ).select("*", "numbers.*")
     per_row = materialize(removed, "removed")
-    joined = counts.join(
-        per_row, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("content") == F.col("r_content")), "left"
-    ).withColumn("removed_words", F.coalesce("removed", F.lit(0)))
+    joined = rows.join(
+        per_row,
+        F.col("id").eqNullSafe(F.col("r_id"))
+        & F.col("host").eqNullSafe(F.col("r_host"))
+        & (F.col("content") == F.col("r_content")),
+        "left",
+    ).withColumn("clean_text", without_lines(F.col("whole"), F.col("dropped")))
+    gone = F.when(F.col("dropped").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_words") - count_words(F.col("clean_text")))
     failed = (F.col("n_words") < least_words) | (
         F.col("n_repeat_words") * 100 > F.col("n_words") * repeat_percent
     )
     depleted = F.col("removed_words") * 100 > F.col("n_words") * depleted_percent
-    return joined.select(
+    return joined.withColumn("removed_words", gone).select(
         "id", "content", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words",
-        failed.alias("base_failed"), (~failed & ~depleted).alias("kept"),
+        failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), "clean_text", "carried",
     )
 
 
+def judge(df: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", **limits) -> DataFrame:
+    """``id, content`` (a hash of the text), the base counts, ``removed_words``, ``base_failed``, ``kept``, ``clean_text``.
+
+    ``clean_text`` is the text without its removed lines. ``limits``: those of ``_verdicts``.
+    """
+    return _verdicts(df, [], id_col, text, host, **limits).drop("carried")
+
+
 def keep_good(df: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", **limits) -> DataFrame:
-    """The rows of the documents that pass."""
-    verdict = judge(df, id_col, text, host, **limits).where("NOT kept").select("id", "content").distinct()
-    names = free_name(df, "bad_id", "bad_content")
-    bad = verdict.select(F.col("id").alias(names["bad_id"]), F.col("content").alias(names["bad_content"]))
-    same = F.col(id_col).eqNullSafe(F.col(names["bad_id"])) & (F.xxhash64(text) == F.col(names["bad_content"]))
-    return df.join(bad, same, "left_anti").select(df.columns)
+    """The rows of the documents that pass, their texts without the removed lines."""
+    others = [c for c in df.columns if c != text]
+    good = _verdicts(df, others, id_col, text, host, **limits).where("kept")
+    return good.select(*[(F.col("clean_text") if c == text else F.col("carried")[c]).alias(c) for c in df.columns])

@@ -18,7 +18,7 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go; frequent lines go from the others' texts."""
     return line_rules.keep_good(docs)
 
 

@@ -138,6 +138,34 @@ def test_frequent_lines_are_removed_and_depleted_documents_rejected(spark):
     assert line_rules.judge(df.limit(0)).count() == 0
 
 
+def own_line(i, n=60):
+    """A line that stays its own when digits become 0."""
+    name = "".join("abcdefghij"[int(d)] for d in str(i))
+    return " ".join(f"own{name}x{k}" for k in range(n))
+
+
+def test_texts_lose_their_frequent_lines(spark):
+    own = own_line
+    menu = " ".join(f"menu{k}" for k in range(25))
+    rows = [(i, f"{own(i)} a\n\n {menu.upper()}\t\n{own(100 + i)} b", "h", i) for i in range(30)]
+    rows += [(0, rows[5][1], "h", 40), (50, rows[5][1], "other", 50), (5, rows[5][1], "other", 51), (None, rows[6][1], "h", 52)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, row long").withColumn("clean_text", F.lit("x"))
+    bare = {row: f"{own(k)} a\n\n{own(100 + k)} b" for row, k in [*((i, i) for i in range(1, 30)), (52, 6)]}
+    want = {row: bare.get(row, text) for _, text, _, row in rows}
+    kept = line_rules.keep_good(df)
+    assert kept.columns == df.columns and {r.row: r.text for r in kept.collect()} == want
+    judged = line_rules.judge(df.where("row < 30")).collect()
+    assert {r.id: (r.clean_text, r.removed_words) for r in judged} == {i: (want[i], 25 if i else 0) for i in range(30)}
+
+
+def test_removed_words_are_those_of_all_removed_lines(spark):
+    parts = [" ".join(f"menu{p}x{k}" for k in range(20)) for p in "abc"]
+    rows = [(i, "\n".join([*parts, own_line(i, 10)]), "h") for i in range(30)]
+    out = {r.id: r for r in line_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert out[0].kept and not any(out[i].kept for i in range(1, 30))
+    assert all(out[i].removed_words == 60 and out[i].clean_text == own_line(i, 10) for i in range(1, 30))
+
+
 def test_phrases_and_rules(spark):
     rng = random.Random(2)
     parts = [*license_rules.PHRASES, "mit", "license", "é", "apache", "2", "\n", "-", "cc by nc cc by nc", "under the"]
