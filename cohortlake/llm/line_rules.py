@@ -2,10 +2,11 @@
 
 Lines are normalised (trimmed, A-Z lowered, digits to 0) and hashed. For each host and line the
 distinct documents that hold it are counted; documents of equal text count once, so copies do
-not turn their own lines into boilerplate. A line above the limit - more than ``line_percent`` of the
-host's distinct documents, and at least ``least_documents`` - is removed everywhere but in the
-first document that holds it. A document is rejected when more than ``depleted_percent`` of
-its words are removed.
+not turn their own lines into boilerplate. A line above the limit - in ``least_documents`` of the
+host's distinct documents or, on small hosts, in more than ``line_percent`` of them and at least
+``fewest_documents`` - is removed everywhere but in the first document that holds it. A document
+is depleted and rejected when more than ``depleted_percent`` of its words are removed, or when
+lines are removed and fewer than ``least_words`` words are left.
 
 Rows: a null text has no words and fails the base rules. Null hosts are one host. Repeated
 rows get equal results; texts are read whole; an empty table gives an empty one.
@@ -133,7 +134,9 @@ def without_lines(text: Column, dropped: Column) -> Column:
     return F.when(dropped.isNull(), text).otherwise(F.array_join(lines, "\n"))
 
 
-def frequent_lines(df: DataFrame, host: str, text: str, id_col: str, line_percent: int, least_documents: int) -> DataFrame:
+def frequent_lines(
+    df: DataFrame, host: str, text: str, id_col: str, line_percent: int, least_documents: int, fewest_documents: int
+) -> DataFrame:
     """``host, line, first_id, lines`` of the lines above the limit."""
     lines = _lines(df, host, text, id_col)
     distinct = lines.groupBy("host", "line", "content").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("rows"))
@@ -148,11 +151,12 @@ def frequent_lines(df: DataFrame, host: str, text: str, id_col: str, line_percen
         .agg(F.count(F.lit(1)).alias("host_documents"))
     )
     # Only lines of many documents meet the host table, so no host is hot there.
-    often = materialize(per_line.where(F.col("documents") >= least_documents), "often")
+    often = materialize(per_line.where(F.col("documents") >= min(least_documents, fewest_documents)), "often")
     counted = skew_join(often, materialize(hosts, "hosts"), ["host"])
-    return counted.where(F.col("documents") * 100 > F.col("host_documents") * line_percent).select(
-        "host", "line", "first_id", "rows"
+    large_share = (F.col("documents") >= fewest_documents) & (
+        F.col("documents") * 100 > F.col("host_documents") * line_percent
     )
+    return counted.where((F.col("documents") >= least_documents) | large_share).select("host", "line", "first_id", "rows")
 
 
 def _lines(df: DataFrame, host: str, text: str, id_col: str) -> DataFrame:
@@ -174,10 +178,12 @@ def _verdicts(
     repeat_percent: int = 50,
     line_percent: int = 10,
     least_documents: int = 20,
-    depleted_percent: int = 80,
+    fewest_documents: int = 5,
+    depleted_percent: int = 50,
 ) -> DataFrame:
     """What ``judge`` says of each row, and ``carried``: a struct of these columns of the table."""
-    frequent = materialize(frequent_lines(df, host, text, id_col, line_percent, least_documents), "frequent")
+    often = frequent_lines(df, host, text, id_col, line_percent, least_documents, fewest_documents)
+    frequent = materialize(often, "frequent")
     found = skew_join(_lines(df, host, text, id_col), frequent, ["host", "line"], rows="rows")
     # A document's removed lines are bounded by its text; repeated rows share one row here.
     removed = (
@@ -205,7 +211,8 @@ def _verdicts(
     failed = (F.col("n_words") < least_words) | (
         F.col("n_repeat_words") * 100 > F.col("n_words") * repeat_percent
     )
-    depleted = F.col("removed_words") * 100 > F.col("n_words") * depleted_percent
+    short = (F.col("removed_words") > 0) & (F.col("n_words") - F.col("removed_words") < least_words)
+    depleted = short | (F.col("removed_words") * 100 > F.col("n_words") * depleted_percent)
     return joined.withColumn("removed_words", gone).select(
         "id", "content", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words",
         failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), "clean_text", "carried",

@@ -166,6 +166,24 @@ def test_removed_words_are_those_of_all_removed_lines(spark):
     assert all(out[i].removed_words == 60 and out[i].clean_text == own_line(i, 10) for i in range(1, 30))
 
 
+def test_line_limits_do_not_grow_with_the_host(spark):
+    menu = " ".join(f"menu{k}x" for k in range(12))
+    rows = [(i, own_line(i) + ("\n" + menu if i < 20 else ""), "large") for i in range(400)]
+    rows += [(1000 + i, own_line(i) + ("\n" + menu if i < 5 else ""), "small") for i in range(30)]
+    rows += [(2000 + i, own_line(i) + ("\n" + menu if i < 4 else ""), "tiny") for i in range(4)]
+    rows += [(3000, menu.replace("menu", "other") + "\n" + own_line(401, 52) + "\n" + menu, "large")]
+    rows += [(3001, own_line(402, 45) + "\n" + menu, "large")]  # too short without the menu
+    out = {r.id: r for r in line_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert {i for i, r in out.items() if r.removed_words} == {*range(1, 20), *range(1001, 1005), 3000, 3001}
+    assert {i for i, r in out.items() if not r.kept} == {3001}
+
+
+def test_given_tables_have_frequent_lines_and_depleted_documents(spark):
+    judged = line_rules.judge(queries.table(spark, "/root/testdata/sf0.1", "documents")).drop("content").collect()
+    assert sum(r.removed_words > 0 for r in judged) >= 1000
+    assert any(not r.kept and not r.base_failed for r in judged)
+
+
 def test_phrases_and_rules(spark):
     rng = random.Random(2)
     parts = [*license_rules.PHRASES, "mit", "license", "é", "apache", "2", "\n", "-", "cc by nc cc by nc", "under the"]
