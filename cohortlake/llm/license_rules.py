@@ -1,8 +1,8 @@
 """License scans: ordered signature rules behind a keyword prefilter, in DataFrame functions.
 
 A text becomes its words (runs of a-z, 0-9 and non-ASCII after lower-casing A-Z), one blank
-apart. A rule is a regex over words with a label, a keyword and a score; its place in the
-list is its priority. Only texts that hold a keyword meet rules, and only the rules of the
+apart. A rule is a regex over words with a label, a keyword (or several, by ``|``) and a score; its place in the
+list is its priority. Each form of a rule holds one of its keywords. Only texts that hold a keyword meet rules, and only the rules of the
 keywords they hold. Detections are word intervals. Sorted by start, longest and first rule
 first, a detection inside an earlier one is suppressed, so "gpl 3" within a longer notice
 does not count on its own.
@@ -45,10 +45,10 @@ NAMED = [
     ("mit-0", "mit", "mit no attribution|mit 0", "mit 0"),
     ("apache-1", "apache", "apache (?:software )?license (?:version )?1 0", "apache 1 0"),
     ("apache-1.1", "apache", "apache (?:software )?license (?:version )?1 1", "apache 1 1"),
-    ("apache-2", "apache", "apache (?:software )?license (?:version |v )?2(?: 0)?|apache 2(?: 0)?|apl 2(?: 0)?", "apache 2 0"),
+    ("apache-2", "apache|apl 2", "apache (?:software )?license (?:version |v )?2(?: 0)?|apache 2(?: 0)?|apl 2(?: 0)?", "apache 2 0"),
     ("bsd-0", "bsd", "zero clause bsd|bsd zero clause|0 clause bsd", "0bsd"),
     ("bsd-1", "bsd", "bsd 1 clause|one clause bsd|1 clause bsd", "bsd 1 clause"),
-    ("bsd-2", "bsd", "bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd", "bsd 2 clause"),
+    ("bsd-2", "bsd|freebsd", "bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd", "bsd 2 clause"),
     ("bsd-3", "bsd", "bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd|revised bsd", "bsd 3 clause"),
     ("bsd-4", "bsd", "bsd 4 clause|4 clause bsd|four clause bsd|original bsd", "bsd 4 clause"),
     ("isc", "isc", "isc", "isc"),
@@ -67,23 +67,23 @@ NAMED = [
     ("boost-1.0", "boost", "boost software license(?: version)?(?: 1 0)?", "bsl 1 0"),
     ("zlib", "zlib", "zlib(?: libpng)?", "zlib"),
     ("unlicense", "unlicense", "unlicense", "unlicense"),
-    ("wtfpl", "wtfpl", "wtfpl|do what the fuck you want to public license", "wtfpl"),
-    ("python-2.0", "python", "python software foundation license(?: version 2)?|psf license", "python 2 0"),
+    ("wtfpl", "wtfpl|do what the fuck", "wtfpl|do what the fuck you want to public license", "wtfpl"),
+    ("python-2.0", "python|psf license", "python software foundation license(?: version 2)?|psf license", "python 2 0"),
     ("openssl", "openssl", "openssl", "openssl"),
     ("postgresql", "postgresql", "postgresql", "postgresql"),
     ("ofl-1.1", "open font", "sil open font license(?: version)?(?: 1 1)?", "ofl 1 1"),
-    ("odbl-1.0", "open database", "open database license|odbl", "odbl 1 0"),
+    ("odbl-1.0", "open database|odbl", "open database license|odbl", "odbl 1 0"),
     ("odc-by-1.0", "open data commons", "open data commons attribution license", "odc by 1 0"),
     ("pddl-1.0", "public domain dedication", "public domain dedication and license", "pddl 1 0"),
     ("ms-pl", "microsoft", "microsoft public license", "ms pl"),
     ("ms-rl", "microsoft", "microsoft reciprocal license", "ms rl"),
-    ("ncsa", "illinois", "university of illinois ncsa open source license|ncsa open source license", "ncsa"),
+    ("ncsa", "illinois|ncsa open", "university of illinois ncsa open source license|ncsa open source license", "ncsa"),
     ("upl-1.0", "universal permissive", "universal permissive license(?: version)?(?: 1 0)?", "upl 1 0"),
     ("sspl-1.0", "server side", "server side public license(?: version)?(?: 1)?", "sspl 1 0"),
     ("busl-1.1", "business source", "business source license(?: version)?(?: 1 1)?", "busl 1 1"),
     ("elastic-2.0", "elastic", "elastic license (?:version )?2(?: 0)?", "elastic 2 0"),
     ("llama-2", "llama", "llama 2 community license(?: agreement)?", "llama2"),
-    ("openrail-m", "openrail", "(?:creativeml |bigscience )?(?:open rail m|openrail m)", "openrail m"),
+    ("openrail-m", "openrail|open rail", "(?:creativeml |bigscience )?(?:open rail m|openrail m)", "openrail m"),
 ]
 # Wordings of a notice. {name} stands for a licence's name pattern.
 WORDINGS = [
@@ -128,15 +128,16 @@ def rules() -> list[Rule]:
 
     for family, name in GNU:
         key = {"gpl": "general public", "lgpl": "general public", "agpl": "affero", "fdl": "documentation"}[family]
+        keys = (key, "fdl|gfdl" if family == "fdl" else family)
         for version in GNU_VERSIONS[family].split():
             number = words(version) + ("(?: 0)?" if "." not in version else "")
             label = f"{family}-{version}"
             full = f"(?:{name}) (?:version |v ?)?{number}"
             for suffix, tail in (("-or-later", " or (?:any )?later(?: version)?| or at your option any later version"), ("-only", " only")):
                 out.append(Rule(label + suffix, "spdx license identifier", f"spdx license identifier {family} {words(version)}(?: 0)?{suffix.replace('-', ' ')}", 1.0))
-                for keyword in (key, family):
+                for keyword in keys:
                     out.append(Rule(label + suffix, keyword, f"(?:under (?:the )?)?(?:terms of (?:the )?)?{full}(?:{tail})", 1.0))
-            for keyword in (key, family):
+            for keyword in keys:
                 out.append(Rule(label, keyword, f"(?:licensed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?{full}", 1.0))
                 out.append(Rule(label, keyword, full, 0.8))
             out.append(Rule(label, "gnu org", f"gnu org licenses (?:old licenses )?{family} {words(version)}(?: 0)?", 0.9))
@@ -208,7 +209,7 @@ def detections(padded: Column, signature: list[Rule]) -> Column:
     families = F.array(
         *[
             F.struct(
-                F.lit(k).alias("keyword"),
+                F.array(*[F.lit(" " + x) for x in k.split("|")]).alias("keywords"),
                 F.array(
                     *[
                         F.struct(
@@ -257,7 +258,7 @@ def detections(padded: Column, signature: list[Rule]) -> Column:
             ),
         )
 
-    present = F.filter(families, lambda f: F.contains(padded, F.concat(F.lit(" "), f["keyword"])))
+    present = F.filter(families, lambda f: F.exists(f["keywords"], lambda k: F.contains(padded, k)))
     active = F.flatten(F.transform(present, lambda f: f["rules"]))
     return F.flatten(F.transform(active, lambda r: of_rule(padded, r)))
 

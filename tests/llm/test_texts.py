@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 
 import numpy as np
 import public_tokenizers
@@ -216,6 +217,45 @@ def test_labels(spark, text, labels):
     assert license_rules.scan_licenses(df).first()["labels"] == labels
 
 
+def spellings(tree):
+    """Every text of a parsed pattern of letters, groups, alternatives, sets and ``?``."""
+    out = [""]
+    for op, value in tree:
+        kind = str(op)
+        if kind == "LITERAL":
+            part = [chr(value)]
+        elif kind == "IN":
+            part = [chr(v) for _, v in value]
+        elif kind == "SUBPATTERN":
+            part = spellings(value[3])
+        elif kind == "BRANCH":
+            part = [t for branch in value[1] for t in spellings(branch)]
+        else:
+            assert kind == "MAX_REPEAT" and value[:2] == (0, 1), kind
+            part = ["", *spellings(value[2])]
+        out = [a + b for a in out for b in part]
+    return out
+
+
+def test_every_spelling_of_a_rule_passes_its_keywords():
+    keywords = {}
+    for rule in license_rules.rules():
+        keywords.setdefault((rule.label, rule.pattern), []).extend(rule.keyword.split("|"))
+    for (label, pattern), known in keywords.items():
+        for text in spellings(re._parser.parse(pattern)):
+            assert any(" " + k in " " + text for k in known), (label, known, text)
+
+
+def test_spellings_without_the_family_word_get_their_label(spark):
+    names = {
+        "FreeBSD": "bsd-2", "APL 2": "apache-2", "PSF license": "python-2.0", "ODbL": "odbl-1.0",
+        "NCSA Open Source License": "ncsa", "do what the fuck you want to public license": "wtfpl",
+        "CreativeML Open RAIL-M": "openrail-m", "GFDL 1.3": "fdl-1.3",
+    }
+    df = spark.createDataFrame([(f"Licensed under the {n}", v) for n, v in names.items()], "text string, doc_id string")
+    assert {r.id: r.labels for r in license_rules.scan_licenses(df).collect()} == {v: v for v in names.values()}
+
+
 def test_there_are_hundreds_of_rules():
     assert len(license_rules.rules()) > 300
 
