@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlake.llm import (
+    decontaminate,
     license_rules,
     line_rules,
     metric_join,
@@ -18,9 +19,11 @@ from cohortlake.llm import (
     mixing,
     ngram_quality,
     piece_codec,
+    prefix_trie,
     secret_scan,
     shards,
     token_files,
+    vector_codes,
 )
 from cohortlake.session import fresh_path, materialize
 
@@ -143,3 +146,30 @@ def op10_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id")
     found = ngram_quality.classify(table(spark, sf_dir, "documents"), trusted)
     return found.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select(
+        F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(vector_codes.codebooks_digest(books)).alias("codebooks_sha256")
+    )
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+    return nodes.withColumnsRenamed({"conv": "conv_id", "parent": "parent_conv_id"})
+
+
+@query
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
