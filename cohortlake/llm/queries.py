@@ -25,10 +25,15 @@ from cohortlake.llm import (
     token_files,
     vector_codes,
 )
+from cohortlake.llm.checking_sql import DECONTAMINATION_SQL, PREFIX_TRIE_SQL, vector_codes_sql
 from cohortlake.session import fresh_path, materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op11_vector_codes": vector_codes_sql(),
+    "op12_prefix_trie": PREFIX_TRIE_SQL,
+    "op13_decontamination": DECONTAMINATION_SQL,
+}
 
 
 def query(function):
