@@ -1,8 +1,11 @@
 """Posterior draws: summaries, intervals, convergence diagnostics.
 
 Draws are long rows (param, chain, iter, draw) with ``iter`` running 1..n in each
-chain of a parameter, or any other numbers in that order: only positions count. Chains of
-unequal length are cut to the shortest.
+chain of a parameter, or any other numbers in that order: only positions count. Chains may
+differ in length. Every draw counts once: variances within chains are pooled over draws, means
+are weighted by their draws, a chain is halved at its own middle (an odd one's middle draw
+goes to the second half), and products of an autocovariance are divided by all draws. With
+chains of one length these are the usual formulas.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from cohortlake.functions.labels import first_number
 from cohortlake.functions.normal import normal_quantile
 from cohortlake.operators.ranks import exact_quantiles, running_total, value_counts, with_position
 from cohortlake.operators.skew import join_null_safe, skew_join
-from cohortlake.session import cut_lineage
+from cohortlake.session import cut_lineage, materialize
 
 LAG_BLOCK = 2048
 FIRST_LAGS = 64
@@ -67,48 +70,58 @@ def hpdi(df: DataFrame, keys: Sequence[str], draw: str, prob: float, order: Sequ
     return spans.groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.hpdi_low", "_b.hpdi_high")
 
 
-def _shape(draws: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Chains, shortest chain and rows per parameter."""
-    lengths = draws.groupBy(*keys, "chain").agg(F.count(F.lit(1)).alias("_len"))
-    return lengths.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("chains"), F.min("_len").alias("n"), F.sum("_len").alias("_rows")
+def placed_draws(draws: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys, ``chain``, ``iter`` renumbered 1, 2, ... in each chain, ``length`` of the chain, ``draw``; written once."""
+    ordered = draws.select(*keys, "chain", F.col("iter").alias("_iter"), "draw")
+    placed = running_total(
+        ordered, [*keys, "chain"], [F.col("_iter")], with_totals=True, iter=F.lit(1).cast("long")
     )
+    return materialize(placed.withColumnRenamed("iter_total", "length").drop("_iter"), "placed-draws")
 
 
-def _cut(draws: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Draws with ``chains`` and ``n``, ``iter`` renumbered 1, 2, ... in each chain, none past the shortest."""
-    placed = cut_lineage(
-        with_position(draws.withColumnRenamed("iter", "_iter"), [*keys, "chain"], [F.col("_iter")], "iter").drop("_iter")
+def _spread(groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``groups``, ``draws``, ``within`` and ``between`` variance of groups ``_n, _mean, _var`` of any sizes."""
+    # One row for each chain or half of one: a few per key.
+    whole = Window.partitionBy(*keys)
+    grand = F.sum(F.col("_n") * F.col("_mean")).over(whole) / F.sum("_n").over(whole)
+    off = F.col("_n") * (F.col("_mean") - F.col("_grand")) * (F.col("_mean") - F.col("_grand"))
+    inside = F.coalesce((F.col("_n") - 1) * F.col("_var"), F.lit(0.0))
+    count = F.count(F.lit(1))
+    return (
+        groups.withColumn("_grand", grand)
+        .groupBy(*keys)
+        .agg(
+            count.alias("groups"),
+            F.sum("_n").alias("draws"),
+            (F.sum(inside) / F.nullif(F.sum(F.col("_n") - 1), F.lit(0))).alias("within"),
+            (F.sum(off) * count / F.sum("_n") / F.nullif(count - 1, F.lit(0))).alias("between"),
+        )
     )
-    return skew_join(placed, cut_lineage(_shape(placed, keys)), keys, rows="_rows").where(F.col("iter") <= F.col("n"))
 
 
-def _rhat_of(cut: DataFrame, keys: Sequence[str], draw: str) -> DataFrame:
-    half = F.floor(F.col("n") / 2)
-    part = F.when(F.col("iter") <= half, 0).when(F.col("iter") > F.col("n") - half, 1)
-    halves = (
-        cut.withColumn("_half", part)
-        .where(F.col("_half").isNotNull())
-        .groupBy(*keys, "chain", "_half")
-        .agg(F.avg(draw).alias("_mean"), F.var_samp(draw).alias("_var"), F.count(F.lit(1)).alias("_n"))
-    )
-    within, between = F.avg("_var"), F.var_samp("_mean")
-    size = F.max("_n")
-    return halves.groupBy(*keys).agg(
-        F.sqrt(((size - 1) / size * within + between) / F.nullif(within, F.lit(0.0))).alias("rhat")
+def _overall(within: Column, between: Column) -> Column:
+    return (F.col("draws") - F.col("groups")) / F.col("draws") * within + between
+
+
+def _rhat_of(placed: DataFrame, keys: Sequence[str], draw: str) -> DataFrame:
+    half = (F.col("iter") > F.floor(F.col("length") / 2)).alias("_half")
+    halves = placed.groupBy(*keys, "chain", half).agg(
+        F.avg(draw).alias("_mean"), F.var_samp(draw).alias("_var"), F.count(F.lit(1)).alias("_n")
     )
+    total = _overall(F.col("within"), F.col("between"))
+    return _spread(halves, keys).select(*keys, F.sqrt(total / F.nullif("within", F.lit(0.0))).alias("rhat"))
 
 
 def split_rhat(draws: DataFrame, keys: Sequence[str] = ("param",)) -> DataFrame:
-    """Potential scale reduction with every chain split in two halves."""
-    return _rhat_of(_cut(draws, keys), keys, "draw")
+    """Potential scale reduction with every chain split at its own middle."""
+    return _rhat_of(placed_draws(draws, keys), keys, "draw")
 
 
 def rank_rhat(draws: DataFrame, keys: Sequence[str] = ("param",)) -> DataFrame:
     """The same on normal scores of the draws' ranks within the parameter."""
     keys = list(keys)
-    cut = _cut(draws, keys)
-    ranks = value_counts(cut, keys, "draw").select(
+    placed = placed_draws(draws, keys)
+    ranks = value_counts(placed, keys, "draw").select(
         *keys,
         "draw",
         (
@@ -117,18 +130,19 @@ def rank_rhat(draws: DataFrame, keys: Sequence[str] = ("param",)) -> DataFrame:
         F.col("ties").alias("_ties"),
     )
     scores = cut_lineage(ranks.select(*keys, "draw", normal_quantile("_p").alias("_z"), "_ties"))
-    return _rhat_of(skew_join(cut, scores, [*keys, "draw"], rows="_ties"), keys, "_z")
+    return _rhat_of(skew_join(placed, scores, [*keys, "draw"], rows="_ties"), keys, "_z")
 
 
 def autocovariance(centered: DataFrame, keys: Sequence[str], first: int, last: int) -> DataFrame:
     """Sums of products of centred draws ``lag`` apart, for lags first..last.
 
     Chains are cut into blocks of ``LAG_BLOCK`` iterations. A task sees two blocks a
-    fixed distance apart and correlates them; no task sees a whole chain.
+    fixed distance apart and correlates them; no task sees a whole chain. Of a block that
+    is met from afar only the rows within reach of these lags are sent.
     """
     keys = [*keys, "chain"]
     size = LAG_BLOCK
-    reach = list(range(max(0, first // size - 1), last // size + 2))
+    reach = [g for g in range(last // size + 2) if max(first, (g - 1) * size + 1) <= min(last, (g + 1) * size - 1)]
     block = F.floor((F.col("iter") - 1) / size)
     copies = F.explode(F.array(*[F.struct(F.lit(d).alias("gap"), F.lit(s).alias("late")) for d in reach for s in ((0, 1) if d else (0,))]))
     tiled = (
@@ -144,6 +158,10 @@ def autocovariance(centered: DataFrame, keys: Sequence[str], first: int, last: i
         )
         .where(F.col("start") >= 0)
     )
+    # A lag is gap * size + (place in the later block) - (place in the earlier one).
+    least = F.when(F.col("late") == 1, F.col("at") - (size - 1)).otherwise(-F.col("at"))
+    nearest = F.col("gap") * size + least
+    tiled = tiled.where((F.col("gap") == 0) | ((nearest <= last) & (nearest + size - 1 >= first)))
     types = ", ".join(f"`{k}` {centered.schema[k].dataType.simpleString()}" for k in keys)
 
     def correlate(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -171,47 +189,49 @@ def autocovariance(centered: DataFrame, keys: Sequence[str], first: int, last: i
 
 
 def effective_size(draws: DataFrame, keys: Sequence[str] = ("param",), first_lags: int = FIRST_LAGS) -> DataFrame:
-    """Effective sample size from autocorrelation over chains.
+    """``chains``, ``draws`` and effective sample size ``n_eff`` from autocorrelation over chains.
 
     Correlations are added in pairs while the pairs stay positive, each held at
-    or below the one before. Lags are worked out in growing ranges until every
-    parameter has reached its end, so none is cut short.
+    or below the one before. Lags are worked out in growing ranges, after the first one only for
+    the parameters that have not reached their end, so none is cut short.
     """
-    keys = list(keys)
-    cut = _cut(draws, keys)
+    return _effective_size(placed_draws(draws, list(keys)), list(keys), first_lags)
+
+
+def _effective_size(placed: DataFrame, keys: list[str], first_lags: int = FIRST_LAGS) -> DataFrame:
     per_chain = cut_lineage(
-        cut.groupBy(*keys, "chain").agg(
-            F.avg("draw").alias("_mean"), F.count(F.lit(1)).alias("_k"), F.var_samp("draw").alias("_var")
+        placed.groupBy(*keys, "chain").agg(
+            F.avg("draw").alias("_mean"), F.count(F.lit(1)).alias("_n"), F.var_samp("draw").alias("_var")
         )
     )
-    centered = skew_join(
-        cut.select(*keys, "chain", "iter", "draw"), per_chain.drop("_var"), [*keys, "chain"], rows="_k"
-    ).select(*keys, "chain", "iter", (F.col("draw") - F.col("_mean")).alias("value"))
-    spread = per_chain.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("chains"),
-        F.max("_k").alias("n"),
-        F.avg("_var").alias("_within"),
-        F.coalesce(F.var_samp("_mean"), F.lit(0.0)).alias("_between"),
+    # Gone over once for every range of lags.
+    centered = materialize(
+        skew_join(placed, per_chain.drop("_var"), [*keys, "chain"], rows="_n").select(
+            *keys, "chain", "iter", (F.col("draw") - F.col("_mean")).alias("value")
+        ),
+        "centered",
     )
-    spread = cut_lineage(spread)
-    longest = spread.agg(F.max("n")).first()[0] or 0
-    known, first, last = None, 0, min(first_lags, longest) - 1
+    longest_chain = per_chain.groupBy(*keys).agg(F.max("_n").alias("longest"))
+    spread = cut_lineage(join_null_safe(_spread(per_chain, keys), longest_chain, keys))
+    longest = spread.agg(F.max("longest")).first()[0] or 0
+    known, open_keys, first, last = None, None, 0, min(first_lags, longest) - 1
     # Only ever one row per (param, lag), so the union stays narrow.
     pooled = Window.partitionBy(*keys).orderBy("_pair")
     while True:
+        still = centered if open_keys is None else skew_join(centered, open_keys, keys, "left_semi")
         fresh = cut_lineage(
-            autocovariance(centered, keys, first, last).groupBy(*keys, "lag").agg(F.sum("s").alias("s"))
+            autocovariance(still, keys, first, last).groupBy(*keys, "lag").agg(F.sum("s").alias("s"))
         )
         known = fresh if known is None else known.unionByName(fresh)
-        total = (F.col("n") - 1) / F.col("n") * F.col("_within") + F.col("_between")
+        total = _overall(F.col("within"), F.coalesce("between", F.lit(0.0)))
         rho = F.when(F.col("lag") == 0, F.when(total > 0, F.lit(1.0))).otherwise(
-            1 - (F.col("_within") - F.col("s") / F.col("n") / F.col("chains")) / F.nullif(total, F.lit(0.0))
+            1 - (F.col("within") - F.col("s") / F.col("draws")) / F.nullif(total, F.lit(0.0))
         )
         pairs = (
             join_null_safe(known, spread, keys)
-            .where(F.col("lag") < F.col("n"))
-            .select(*keys, "chains", "n", F.floor(F.col("lag") / 2).alias("_pair"), rho.alias("_rho"))
-            .groupBy(*keys, "chains", "n", "_pair")
+            .where(F.col("lag") < F.col("longest"))
+            .select(*keys, "groups", "draws", "longest", F.floor(F.col("lag") / 2).alias("_pair"), rho.alias("_rho"))
+            .groupBy(*keys, "groups", "draws", "longest", "_pair")
             .agg(F.sum("_rho").alias("_p"), F.count(F.lit(1)).alias("_both"))
             .where(F.col("_both") == 2)
         )
@@ -219,30 +239,33 @@ def effective_size(draws: DataFrame, keys: Sequence[str] = ("param",), first_lag
             "*", F.min("_p").over(pooled.rowsBetween(Window.unboundedPreceding, 0)).alias("_low")
         )
         ended = held.groupBy(*keys).agg(
-            F.max("chains").alias("chains"),
-            F.max("n").alias("n"),
+            F.max("groups").alias("chains"),
+            F.max("draws").alias("draws"),
+            F.max("longest").alias("longest"),
             F.sum(F.when(F.col("_low") > 0, F.col("_low"))).alias("_sum"),
             F.min("_low").alias("_end"),
         )
-        open_params = ended.where((F.col("_end") > 0) & (F.col("n") > last + 1))
-        if last + 1 >= longest or open_params.isEmpty():
+        unended = ended.where((F.col("_end") > 0) & (F.col("longest") > last + 1))
+        if last + 1 < longest:
+            open_keys = cut_lineage(unended.select(*keys))
+        if last + 1 >= longest or open_keys.isEmpty():
             # Draws that swing around their mean carry more than one draw each, within a bound.
-            draws_in_all = F.col("chains") * F.col("n")
-            least = 1 / F.log10(F.greatest(draws_in_all, F.lit(10)))
-            size = draws_in_all / F.greatest(2 * F.col("_sum") - 1, least)
+            least = 1 / F.log10(F.greatest("draws", F.lit(10)))
+            size = F.col("draws") / F.greatest(2 * F.col("_sum") - 1, least)
             size = F.when(F.col("_sum").isNotNull(), size)
-            return ended.select(*keys, "chains", "n", size.alias("n_eff"))
+            return ended.select(*keys, "chains", "draws", size.alias("n_eff"))
         first, last = last + 1, min(2 * (last + 1), longest) - 1
 
 
 def draw_summary(draws: DataFrame, probs: dict[str, float], keys: Sequence[str] = ("param",)) -> DataFrame:
-    """Mean, sd, Monte-Carlo error, effective size, scale reduction and quantiles."""
+    """Mean, sd, Monte-Carlo error, effective size, scale reduction and quantiles, all over the same draws."""
     keys = list(keys)
-    moments = draws.groupBy(*keys).agg(F.avg("draw").alias("mean"), F.stddev_samp("draw").alias("sd"))
-    size = effective_size(draws, keys).select(*keys, "n_eff")
-    out = join_null_safe(join_null_safe(moments, size, keys), split_rhat(draws, keys), keys)
+    placed = placed_draws(draws, keys)
+    moments = placed.groupBy(*keys).agg(F.avg("draw").alias("mean"), F.stddev_samp("draw").alias("sd"))
+    size = _effective_size(placed, keys).select(*keys, "n_eff")
+    out = join_null_safe(join_null_safe(moments, size, keys, "left"), _rhat_of(placed, keys, "draw"), keys)
     out = out.withColumn("se_mean", F.col("sd") / F.sqrt("n_eff"))
-    return join_null_safe(out, exact_quantiles(draws, keys, "draw", probs), keys)
+    return join_null_safe(out, exact_quantiles(placed, keys, "draw", probs), keys)
 
 
 # --- sampler diagnostics -------------------------------------------------------------------
@@ -293,13 +316,14 @@ def energy_fraction(sampler: DataFrame, limit: float = 0.2) -> DataFrame:
 
 def diagnostic_report(draws: DataFrame, sampler: DataFrame) -> DataFrame:
     """All checks as rows (check, item, value, ok)."""
-    size = effective_size(draws).select(
+    placed = placed_draws(draws, ["param"])
+    size = _effective_size(placed, ["param"]).select(
         F.lit("n_eff").alias("check"),
         F.col("param").cast("string").alias("item"),
-        (F.col("n_eff") / (F.col("chains") * F.col("n"))).alias("value"),
+        (F.col("n_eff") / F.col("draws")).alias("value"),
     )
     size = size.withColumn("ok", F.coalesce(~(F.col("value") < 0.001), F.lit(False)))
-    scale = split_rhat(draws).select(
+    scale = _rhat_of(placed, ["param"], "draw").select(
         F.lit("rhat").alias("check"), F.col("param").cast("string").alias("item"), F.col("rhat").alias("value")
     )
     bad = F.col("value").isNull() | F.isnan("value") | (F.col("value") > 1.1) | (F.col("value") == float("inf"))

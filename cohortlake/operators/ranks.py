@@ -14,8 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlake.operators.skew import BROADCAST_ROWS
-from cohortlake.session import cut_lineage, materialize, shuffle_width
+from cohortlake.operators.skew import BROADCAST_BYTES, BROADCAST_ROWS
+from cohortlake.session import materialize, reread, shuffle_width, sized
 
 MAX_BUCKETS = 4096
 SAMPLE_PER_BUCKET = 20
@@ -80,7 +80,10 @@ def running_total(
     buckets = buckets or min(MAX_BUCKETS, shuffle_width(df.sparkSession))
     order = list(order)
     key = order[0] if len(order) == 1 else F.struct(*[c.alias(f"c{i}") for i, c in enumerate(order)])
-    cuts = split_points(df, key, buckets)
+    # Read for the cuts, for the buckets' sums and for the result.
+    df = reread(df, "ordered")
+    small = df.__dict__.get("_rows", SMALL_TABLE) < SMALL_TABLE
+    cuts = [] if small else split_points(df, key, buckets)
     totals = [n for n in measures if with_totals]
     kept = [c for c in df.columns if c not in measures]
     if not cuts:
@@ -99,7 +102,7 @@ def running_total(
         bucket_of(key, cuts).alias("_bucket"),
         *[column.alias(name) for name, column in measures.items()],
     )
-    sums = cut_lineage(staged.groupBy("_group", "_bucket").agg(*[F.sum(n).alias(f"_s_{n}") for n in measures]))
+    sums, held, size = sized(staged.groupBy("_group", "_bucket").agg(*[F.sum(n).alias(f"_s_{n}") for n in measures]), "bucket-sums")
     # At most MAX_BUCKETS rows per group here, whatever the group holds.
     whole = Window.partitionBy("_group")
     before = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -109,7 +112,7 @@ def running_total(
         *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in measures],
         *[F.sum(f"_s_{n}").over(whole).alias(f"{n}_total") for n in totals],
     )
-    if sums.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if held <= BROADCAST_ROWS and size <= BROADCAST_BYTES:
         offsets = F.broadcast(offsets)
     inside = (
         Window.partitionBy("_group", "_bucket")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlake.functions.normal import chi_square_p, log_factorial, two_sided_p
+from cohortlake.functions.normal import chi_square_p, two_sided_p
 from cohortlake.operators.ranks import running_total
 from cohortlake.operators.skew import join_null_safe
 
@@ -48,51 +51,133 @@ def wilcoxon_ranksum(df: DataFrame, group: str, variables: Sequence[str]) -> Dat
     return scored.withColumn("p_value", two_sided_p("z"))
 
 
-FISHER_CHUNK = 4096
+FISHER_BLOCK = 1 << 18
+# Cells likelier than the observed one by less than this (as a logarithm) count as ties.
+FISHER_TIE = 1e-7
+# Beyond a first term times exp(-46) a tail adds less than the last bit of its sum.
+FISHER_REACH = 46.0
+
+_SMALL = np.array([math.lgamma(k + 1.0) - (k + 0.5) * math.log(k or 1) + k - 0.5 * math.log(2 * math.pi) for k in range(16)])
+_SMALL[0] = 0.0
+
+
+def _stirling_rest(n: np.ndarray) -> np.ndarray:
+    """``ln n!`` less Stirling's leading terms ``(n + 1/2) ln n - n + ln sqrt(2 pi)``; 0 for 0."""
+    x = np.maximum(n, 16.0)
+    y = 1 / (x * x)
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - (1 / 1680 - y / 1188) * y) * y) * y) / x
+    return np.where(n < 16, _SMALL[np.minimum(n, 15).astype(int)], series)
+
+
+def _deviance(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """``x ln(x / mean) + mean - x`` without cancellation where the two are close."""
+    v = (x - mean) / np.where(x + mean > 0, x + mean, 1.0)
+    close = np.abs(v) < 0.1
+    w = np.where(close, v, 0.0)
+    # x ln(x / mean) = 2 x atanh(v).
+    total, power = (x - mean) * w, 2 * x * w
+    for k in range(1, 13):
+        power = power * w * w
+        total = total + power / (2 * k + 1)
+    far = np.where(x > 0, x * np.log(np.where(x > 0, x, 1.0) / np.where(mean > 0, mean, 1.0)), 0.0) + mean - x
+    return np.where(close, total, far)
+
+
+def _log_binomial(k: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Log of the binomial probability of ``k`` in ``n``, by deviances from the mean."""
+    rest = _stirling_rest(n) - _stirling_rest(k) - _stirling_rest(n - k)
+    scale = np.where((k > 0) & (k < n), 2 * np.pi * np.maximum(k, 1.0) * (np.maximum(n - k, 1.0) / np.maximum(n, 1.0)), 1.0)
+    return rest - _deviance(k, n * p) - _deviance(n - k, n * (1 - p)) - 0.5 * np.log(scale)
+
+
+def log_hypergeometric(k: np.ndarray, top: np.ndarray, bottom: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Log probability of ``k`` in the first cell of a 2x2 table with rows ``top``, ``bottom`` and first column ``left``.
+
+    A quotient of three binomials, so nothing of the size of ln n! has to cancel.
+    """
+    k, top, bottom, left = (np.asarray(v, float) for v in (k, top, bottom, left))
+    n = top + bottom
+    p = left / np.maximum(n, 1.0)
+    return _log_binomial(k, top, p) + _log_binomial(left - k, bottom, p) - _log_binomial(left, n, p)
+
+
+def _bisect(test, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Largest whole number in each ``[low, high]`` that passes; ``low`` passes, and all below one that does."""
+    low, high = low.copy(), high.copy()
+    while (low < high).any():
+        middle = high - (high - low) // 2
+        good = test(middle)
+        low, high = np.where(good, middle, low), np.where(good, high, middle - 1)
+    return low
+
+
+def fisher_p(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Two-sided p values of non-empty tables: the probability of all tables no likelier than theirs.
+
+    Probabilities rise up to the mode and fall after it. So the cells that count are two tails; each
+    begins where bisection says and is added up from there outwards, until terms stop to matter.
+    """
+    top, bottom, left = a + b, c + d, a + c
+    lowest, highest = np.maximum(0, left - bottom), np.minimum(top, left)
+    mode = ((top + 1).astype(np.longdouble) * (left + 1) / (top + bottom + 2)).astype(np.int64)
+    mode = np.clip(mode, lowest, highest)
+    limit = log_hypergeometric(a, top, bottom, left) + FISHER_TIE
+    out = np.where(log_hypergeometric(mode, top, bottom, left) <= limit, 1.0, 0.0)
+    for sign in (1, -1):
+        # The upper tail is the lower one of the table with its rows' cells mirrored.
+        end = lowest if sign == 1 else highest
+        place = lambda k, at: log_hypergeometric(sign * k, top[at], bottom[at], left[at])
+        held = np.flatnonzero((out == 0) | (out < 1))
+        held = held[log_hypergeometric(end, top, bottom, left)[held] <= limit[held]]
+        if not len(held):
+            continue
+        first = _bisect(lambda k: place(k, held) <= limit[held], sign * end[held], sign * mode[held])
+        peak = place(first, held)
+        near = place(sign * end[held], held) < peak - FISHER_REACH
+        last = sign * end[held]
+        if near.any():
+            some = held[near]
+            last[near] = _bisect(lambda k: place(k, some) < peak[near] - FISHER_REACH, sign * end[some], first[near])
+        out[held] += _tails(place, held, first, last)
+    return np.minimum(out, 1.0)
+
+
+def _tails(place, held: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Sums of the probabilities from ``last`` to ``first``, a bounded number of cells at a time."""
+    sums, lengths = np.zeros(len(held)), first - last + 1
+    done = np.zeros(len(held), np.int64)
+    while (done < lengths).any():
+        todo = np.flatnonzero(done < lengths)
+        take = np.minimum(lengths[todo] - done[todo], FISHER_BLOCK)
+        todo = todo[: max(1, int(np.searchsorted(np.cumsum(take), FISHER_BLOCK, "right")))]
+        take = take[: len(todo)]
+        owner = np.repeat(todo, take)
+        inner = np.arange(len(owner)) - np.repeat(np.cumsum(take) - take, take)
+        terms = np.exp(place(first[owner] - done[owner] - inner, held[owner]))
+        sums[todo] += np.add.reduceat(terms, np.cumsum(take) - take)
+        done[todo] += take
+    return sums
 
 
 def fisher_exact(df: DataFrame, keys: Sequence[str], a: str, b: str, c: str, d: str) -> DataFrame:
-    """Two-sided Fisher exact p of each 2x2 table, one table per row.
+    """Two-sided Fisher exact p of each 2x2 table, one table per row; tables without counts are left out.
 
-    Sums the probability of every table with the same margins that is no likelier
-    than the observed one. All of them are enumerated, in chunks, so no row holds more
-    than ``FISHER_CHUNK`` at a time.
+    A table stays one row whatever its margins; time grows with the spread of its law, the square
+    root of its margins. A table with a null cell has a null p.
     """
-    top, bottom = F.col(a) + F.col(b), F.col(c) + F.col(d)
-    left = F.col(a) + F.col(c)
-    margins = df.select(
-        *keys, F.col(a).alias("_a"), top.alias("_r1"), bottom.alias("_r2"), left.alias("_c1"), (top + bottom).alias("_n")
-    )
-    low = F.greatest(F.lit(0), F.col("_c1") - F.col("_r2")).cast("long")
-    high = F.least(F.col("_r1"), F.col("_c1")).cast("long")
-    fixed = (
-        log_factorial(F.col("_r1"))
-        + log_factorial(F.col("_r2"))
-        + log_factorial(F.col("_c1"))
-        + log_factorial(F.col("_n") - F.col("_c1"))
-        - log_factorial(F.col("_n"))
-    )
 
-    def log_p(k):
-        return (
-            F.col("_fixed")
-            - log_factorial(k)
-            - log_factorial(F.col("_r1") - k)
-            - log_factorial(F.col("_c1") - k)
-            - log_factorial(F.col("_r2") - F.col("_c1") + k)
-        )
-
-    cells = (
-        margins.where(F.col("_n") > 0)
-        .withColumn("_fixed", fixed)
-        .withColumn("_seen", log_p(F.col("_a")))
-        .withColumn("_high", high)
-        .withColumn("_from", F.explode(F.sequence(low, F.col("_high"), F.lit(FISHER_CHUNK).cast("long"))))
-        .withColumn("_k", F.explode(F.sequence("_from", F.least("_high", F.col("_from") + (FISHER_CHUNK - 1)))))
-        .withColumn("_p", log_p(F.col("_k")))
-    )
-    likely = F.when(F.col("_p") <= F.col("_seen") + 1e-7, F.exp("_p")).otherwise(F.lit(0.0))
-    return cells.groupBy(*keys).agg(F.least(F.lit(1.0), F.sum(likely)).alias("p_value"))
+    @F.pandas_udf("double")
+    def p_value(w: pd.Series, x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
+        cells = pd.concat([w, x, y, z], axis=1)
+        whole = cells.notna().all(axis=1).to_numpy()
+        out = np.full(len(cells), np.nan)
+        if whole.any():
+            out[whole] = fisher_p(*cells[whole].to_numpy(np.int64).T)
+        return pd.Series(out).where(whole, None)
+
+    total = F.col(a) + F.col(b) + F.col(c) + F.col(d)
+    cells = [F.col(v).cast("long") for v in (a, b, c, d)]
+    return df.where(total.isNull() | (total > 0)).select(*keys, p_value(*cells).alias("p_value"))
 
 
 def chi_square(df: DataFrame, keys: Sequence[str], row: str, column: str, n: str) -> DataFrame:

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlake.session import cut_lineage, shuffle_width
+from cohortlake.session import cut_lineage, reread, shuffle_width, sized
 
 BROADCAST_ROWS = 50_000
+BROADCAST_BYTES = 32 << 20
 
 
 def with_one_row(df: DataFrame, one_row: DataFrame, name: str = "_g") -> DataFrame:
@@ -46,24 +47,26 @@ def skew_join(
 ) -> DataFrame:
     """Join a fact table to a table with few rows per key, splitting hot keys.
 
-    A keyed table counted at no more than ``broadcast_rows`` rows (``BROADCAST_ROWS``;
-    less for wide rows) is broadcast, and the fact table stays where it is. Beyond that both sides are shuffled and hot
-    keys are split: a key is hot when it holds more than one shuffle partition's
+    The keyed table is written once, and its rows and bytes are taken while it is. With no more than
+    ``broadcast_rows`` rows (``BROADCAST_ROWS``, or less) and ``BROADCAST_BYTES`` it is broadcast, and the
+    fact table stays where it is, read once. Beyond that both sides are shuffled and hot keys are split: a key is hot when it holds more than one shuffle partition's
     fair share of the rows, so there are fewer hot keys than shuffle partitions.
     Fact rows of a hot key are spread over salts and the keyed row is repeated
     once per salt. ``rows`` names a column of ``keyed`` that already holds the row
     count per key (dropped from the result); without it the keys are counted.
     """
     keys = list(keys)
+    keyed, held, size = sized(keyed, "keyed")
     plain = keyed if rows is None else keyed.drop(rows)
     bound = BROADCAST_ROWS if broadcast_rows is None else min(broadcast_rows, BROADCAST_ROWS)
-    if keyed.limit(bound + 1).count() <= bound:
+    if held <= bound and size <= BROADCAST_BYTES:
         return join_null_safe(fact, F.broadcast(plain), keys, how)
     if rows is None:
+        fact = reread(fact, "fact")
         sizes = fact.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     else:
         sizes = keyed.select(*keys, F.col(rows).alias("_rows"))
-    hot = hot_keys(sizes, shuffle_width(fact.sparkSession))
+    hot = hot_keys(sizes if rows is not None else cut_lineage(sizes), shuffle_width(fact.sparkSession))
     if hot is None:
         return join_null_safe(fact, plain, keys, how)
     # Equal rows differ by the partition they are read from, which a retried task keeps.
@@ -103,21 +106,21 @@ def attach_stats(df: DataFrame, keys: Sequence[str], **aggregates: Column) -> Da
     """Put group aggregates on every row of the group, without a window.
 
     A window would sort each whole group in one task; this combines map-side,
-    then joins back with hot groups split. The aggregate is cut off from its
-    lineage, so chained calls do not multiply the plan.
+    then joins back with hot groups split. An input that is more than a scan is written
+    once and read twice; the aggregate is a written table, so chained calls do not multiply the plan.
     """
-    stats = cut_lineage(
-        df.groupBy(*keys).agg(
-            *[column.alias(name) for name, column in aggregates.items()],
-            F.count(F.lit(1)).alias("_group_rows"),
-        )
+    df = reread(df, "grouped")
+    stats = df.groupBy(*keys).agg(
+        *[column.alias(name) for name, column in aggregates.items()],
+        F.count(F.lit(1)).alias("_group_rows"),
     )
     return skew_join(df, stats, keys, rows="_group_rows")
 
 
 def keep_groups(df: DataFrame, keys: Sequence[str], test: Column) -> DataFrame:
-    """Keep the rows of groups whose aggregate passes the test."""
-    stats = cut_lineage(
+    """Keep the rows of groups whose aggregate passes the test; the input is treated as in ``attach_stats``."""
+    df = reread(df, "grouped")
+    stats = (
         df.groupBy(*keys)
         .agg(test.alias("_pass"), F.count(F.lit(1)).alias("_group_rows"))
         .where(F.col("_pass"))

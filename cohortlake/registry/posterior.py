@@ -21,37 +21,43 @@ def _round(df, digits, *columns):
     return df.select(*[F.round(c, digits).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
-# Draws cut to the shortest chain of their parameter.
-_CUT = """
-    lens AS (SELECT param, chain, count(*) AS len FROM draws GROUP BY ALL),
-    shape AS (SELECT param, count(*) AS m, min(len) AS n FROM lens GROUP BY param),
-    kept AS (SELECT d.*, m, n FROM draws d JOIN shape s ON s.param = d.param WHERE iter <= n)"""
+# Every draw with the length of its chain.
+_CHAINS = "kept AS (SELECT *, count(*) OVER (PARTITION BY param, chain) AS len FROM draws)"
+
+
+def _spread_sql(groups: str) -> str:
+    """Of groups ``(param, k, mu, v)`` per parameter: groups m, draws n, pooled variance within, weighted variance between."""
+    return f"""
+        SELECT param, count(*) AS m, sum(k) AS n, sum(coalesce((k - 1) * v, 0)) / sum(k - 1) AS w,
+               sum(k * (mu - grand) * (mu - grand)) / (sum(k) / count(*)) / nullif(count(*) - 1, 0) AS b
+        FROM (SELECT *, sum(k * mu) OVER (PARTITION BY param) / sum(k) OVER (PARTITION BY param) AS grand FROM {groups})
+        GROUP BY param"""
+
 
 _ESS = (
-    _CUT
-    + """,
-    means AS (SELECT param, chain, avg(draw) AS mu, var_samp(draw) AS v FROM kept GROUP BY ALL),
+    _CHAINS
+    + f""",
+    means AS (SELECT param, chain, avg(draw) AS mu, var_samp(draw) AS v, count(*)::DOUBLE AS k FROM kept GROUP BY ALL),
     cent AS (SELECT k.param, k.chain, k.iter, k.draw - mu AS x FROM kept k JOIN means USING (param, chain)),
-    spread AS (SELECT param, avg(v) AS w, var_samp(mu) AS b FROM means GROUP BY param),
+    spread AS ({_spread_sql("means")}),
     acov AS (SELECT a.param, lag, sum(a.x * c.x) AS s FROM cent a CROSS JOIN range(64) l(lag)
              JOIN cent c ON c.param = a.param AND c.chain = a.chain AND c.iter = a.iter + lag GROUP BY ALL),
     rho AS (SELECT a.param, lag, CASE lag WHEN 0 THEN 1 ELSE
-                1 - (w - s / n / m) / ((n - 1) / n::DOUBLE * w + b) END AS rho
-            FROM acov a JOIN spread USING (param) JOIN shape USING (param)),
+                1 - (w - s / n) / ((n - m) / n * w + b) END AS rho
+            FROM acov a JOIN spread USING (param)),
     geyer AS (SELECT param, lag // 2 AS k, sum(rho) AS p FROM rho GROUP BY ALL HAVING count(*) = 2),
     held AS (SELECT param, min(p) OVER (PARTITION BY param ORDER BY k) AS low FROM geyer),
-    ess AS (SELECT param, m, n, m * n / (2 * sum(low) FILTER (low > 0) - 1) AS n_eff
-            FROM held JOIN shape USING (param) GROUP BY param, m, n)"""
+    ess AS (SELECT param, m, n, n / (2 * sum(low) FILTER (low > 0) - 1) AS n_eff
+            FROM held JOIN spread USING (param) GROUP BY param, m, n)"""
 )
 
 
 def _rhat_sql(source: str, name: str) -> str:
     return f"""
-    {name}_half AS (SELECT param, chain, CASE WHEN iter <= n // 2 THEN 0 ELSE 1 END AS h, avg(draw) AS mu,
-                           var_samp(draw) AS v, count(*) AS k
-                    FROM {source} WHERE iter <= n // 2 OR iter > n - n // 2 GROUP BY ALL),
-    {name} AS (SELECT param, sqrt(((max(k) - 1) / max(k)::DOUBLE * avg(v) + var_samp(mu)) / avg(v)) AS rhat
-               FROM {name}_half GROUP BY param)"""
+    {name}_half AS (SELECT param, chain, iter > len // 2 AS h, avg(draw) AS mu, var_samp(draw) AS v, count(*)::DOUBLE AS k
+                    FROM {source} GROUP BY ALL),
+    {name}_spread AS ({_spread_sql(name + "_half")}),
+    {name} AS (SELECT param, sqrt(((n - m) / n * w + b) / w) AS rhat FROM {name}_spread)"""
 
 
 @query(
@@ -145,7 +151,7 @@ def _(spark, d):
 
 @query(
     "split_rhat",
-    sql_with("draws", "WITH " + _CUT + "," + _rhat_sql("kept", "scale") + " SELECT param, round(rhat, 6) AS rhat FROM scale"),
+    sql_with("draws", "WITH " + _CHAINS + "," + _rhat_sql("kept", "scale") + " SELECT param, round(rhat, 6) AS rhat FROM scale"),
 )
 def _(spark, d):
     return _round(K.split_rhat(V.draws(spark, d)), 6, "rhat")
@@ -156,12 +162,12 @@ def _(spark, d):
     sql_with(
         "draws",
         "WITH "
-        + _CUT
+        + _CHAINS
         + f""",
-        p AS (SELECT param, chain, iter, n, (rank() OVER (PARTITION BY param ORDER BY draw)
+        p AS (SELECT param, chain, iter, len, (rank() OVER (PARTITION BY param ORDER BY draw)
                      + (count(*) OVER (PARTITION BY param, draw) - 1) / 2.0::DOUBLE - 0.375)
                      / (count(*) OVER (PARTITION BY param) + 0.25) AS p FROM kept),
-        z AS (SELECT param, chain, iter, n, {normal_quantile_sql("p")} AS draw FROM p),"""
+        z AS (SELECT param, chain, iter, len, {normal_quantile_sql("p")} AS draw FROM p),"""
         + _rhat_sql("z", "scale")
         + " SELECT param, round(rhat, 6) AS rhat FROM scale",
     ),
@@ -172,7 +178,7 @@ def _(spark, d):
 
 @query(
     "effective_size",
-    sql_with("draws", "WITH " + _ESS + " SELECT param, m AS chains, n, round(n_eff, 3) AS n_eff FROM ess"),
+    sql_with("draws", "WITH " + _ESS + " SELECT param, m AS chains, n::BIGINT AS draws, round(n_eff, 3) AS n_eff FROM ess"),
 )
 def _(spark, d):
     return _round(K.effective_size(V.draws(spark, d)), 3, "n_eff")
@@ -227,7 +233,7 @@ def _(spark, d):
         + ","
         + _ENERGY
         + """
-        SELECT 'n_eff' AS "check", param AS item, round(n_eff / (m * n), 6) AS value, NOT n_eff / (m * n) < 0.001 AS ok FROM ess
+        SELECT 'n_eff' AS "check", param AS item, round(n_eff / n, 6) AS value, NOT n_eff / n < 0.001 AS ok FROM ess
         UNION ALL SELECT 'rhat', param, round(rhat, 6), NOT (rhat > 1.1 OR isnan(rhat) OR isinf(rhat)) FROM scale
         UNION ALL SELECT 'energy', CAST(chain AS VARCHAR), round(e, 6), NOT e < 0.2 FROM energy_check
         UNION ALL SELECT 'divergence', 'all', CAST(sum(divergent) AS DOUBLE), sum(divergent) = 0 FROM sampler

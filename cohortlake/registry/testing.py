@@ -259,47 +259,61 @@ def _(spark, d):
 
 _OUTCOMES = """
     o AS (SELECT event_type AS feature, CAST(CAST(ts AS DATE) - DATE '2024-01-01' AS INTEGER) / 30.0::DOUBLE AS x,
-                 CAST(value > 35 AS INTEGER) AS y FROM events)"""
+                 (user_id % 4) / 4.0::DOUBLE AS total, CAST(event_id % 3 = 0 AS INTEGER) AS third,
+                 CAST(value > 35 AS INTEGER) AS y FROM events),
+    shared AS (SELECT chain, iter, max(draw) FILTER (param = 'alpha') AS alpha, max(draw) FILTER (param = 'b_total') AS b_total,
+                      max(draw) FILTER (param = 'b_third') AS b_third, max(draw) FILTER (param = 'sigma') AS sigma
+               FROM joint_draws GROUP BY chain, iter)"""
+_FIXED = {"b_total": "total", "b_third": "third"}
 
 
 def _outcomes(spark, d):
     day = F.datediff(F.to_date("ts"), F.lit(V.FIRST_DAY).cast("date")) / 30.0
     return table(spark, d, "events").select(
-        F.col("event_type").alias("feature"), day.alias("x"), (F.col("value") > 35).cast("int").alias("y")
+        F.col("event_type").alias("feature"),
+        day.alias("x"),
+        ((F.col("user_id") % 4) / 4.0).alias("total"),
+        (F.col("event_id") % 3 == 0).cast("int").alias("third"),
+        (F.col("value") > 35).cast("int").alias("y"),
     )
 
 
 @query(
     "log_likelihood",
     sql_with(
-        "draws",
+        "joint_draws",
         "WITH "
         + _OUTCOMES
         + """,
-        c AS (SELECT feature, x, y, count(*) AS k FROM o GROUP BY ALL)
+        c AS (SELECT feature, x, total, third, y, count(*) AS k FROM o GROUP BY ALL)
         SELECT chain, iter, round(sum(k * (y * eta - greatest(eta, 0) - ln(1 + exp(-abs(eta))))), 4) AS log_lik
-        FROM (SELECT chain, iter, k, y, draw * x - 0.2::DOUBLE AS eta FROM draws JOIN c ON c.feature = draws.param)
+        FROM (SELECT d.chain, d.iter, k, y, draw * x + s.alpha + s.b_total * total + s.b_third * third AS eta
+              FROM joint_draws d JOIN shared s ON s.chain = d.chain AND s.iter = d.iter JOIN c ON c.feature = d.param)
         GROUP BY chain, iter""",
     ),
 )
 def _(spark, d):
-    out = M.log_likelihood_bernoulli(_outcomes(spark, d), V.draws(spark, d), "feature", "x", "y", -0.2)
+    draws = V.joint_draws(spark, d).where("param <> 'sigma'")
+    out = M.log_likelihood_bernoulli(_outcomes(spark, d), draws, "feature", "x", "y", "alpha", _FIXED)
     return _round(out, 4, "log_lik")
 
 
 @query(
     "log_likelihood_normal",
     sql_with(
-        "draws",
+        "joint_draws",
         "WITH "
         + _OUTCOMES
-        + """
-        SELECT chain, iter, round(sum(-ln(1.5::DOUBLE) - 0.5 * ln(2 * pi()) - pow(y - 0.1 - draw * x, 2) / 4.5::DOUBLE), 4) AS log_lik
-        FROM draws JOIN o ON o.feature = draws.param GROUP BY chain, iter""",
+        + """,
+        c AS (SELECT feature, x, total, third, y, count(*) AS k FROM o GROUP BY ALL)
+        SELECT d.chain, d.iter, round(sum(k * (-ln(sigma) - 0.5 * ln(2 * pi())
+                   - pow(y - s.alpha - draw * x - s.b_total * total - s.b_third * third, 2) / (2 * sigma * sigma))), 4) AS log_lik
+        FROM joint_draws d JOIN shared s ON s.chain = d.chain AND s.iter = d.iter JOIN c ON c.feature = d.param
+        GROUP BY d.chain, d.iter""",
     ),
 )
 def _(spark, d):
-    out = M.log_likelihood_normal(_outcomes(spark, d), V.draws(spark, d), "feature", "x", "y", 0.1, 1.5)
+    out = M.log_likelihood_normal(_outcomes(spark, d), V.joint_draws(spark, d), "feature", "x", "y", "alpha", "sigma", _FIXED)
     return _round(out, 4, "log_lik")
 
 

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# Paths of the tables that ``materialize`` wrote and ``release`` has not deleted.
+_WRITTEN: list[str] = []
 
 
 def local_session(cores: str | int = "*", app: str = "cohortlake", **conf) -> SparkSession:
@@ -66,9 +72,86 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     For large inputs of several passes: later scans read only the columns they
     need, and a lost executor costs a re-read, not a recomputation.
     """
+    return _write(df, df, name)
+
+
+def _write(df: DataFrame, as_written: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    as_written.write.parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.__dict__["_stored_at"] = path
+    _WRITTEN.append(path)
+    return table
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """The table itself if ``materialize`` wrote it, else a written copy: for inputs that are read more than once."""
+    return df if "_stored_at" in df.__dict__ else materialize(df, name)
+
+
+# Plan nodes that cost no more to run again than a written copy costs to read.
+_CHEAP = {"Project", "Filter", "Relation", "LocalRelation", "LogicalRDD", "Range", "Union", "OneRowRelation"}
+
+
+def reread(df: DataFrame, name: str = "table") -> DataFrame:
+    """As ``stored``, but plain scans with filters and columns are not copied."""
+    if "_stored_at" in df.__dict__:
+        return df
+    lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    heads = {found[1] for line in lines if (found := re.match(r"[\s:+|-]*(\w+)", line))}
+    return df if heads <= _CHEAP else sized(df, name)[0]
+
+
+def _width(field: T.StructField) -> Column:
+    """Bytes of a value in memory, about; long strings, arrays and nested values as long as they are."""
+    kind, value = field.dataType, F.col(f"`{field.name}`")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 24
+    if isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)):
+        return F.coalesce(F.greatest(F.size(value), F.lit(0)), F.lit(0)) * 8 + 32
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return F.coalesce(F.octet_length(value.cast("string")), F.lit(0)) + 64
+    return F.lit(16)
+
+
+def _sizes(df: DataFrame) -> list[Column]:
+    each = sum((_width(f) for f in df.schema.fields), F.lit(16)).cast("long")
+    return [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(each), F.lit(0)).alias("bytes")]
+
+
+def sized(df: DataFrame, name: str = "table") -> tuple[DataFrame, int, int]:
+    """A written copy (or the table itself, if it is one) with its rows and bytes, which are taken while it is written."""
+    if "_bytes" not in df.__dict__:
+        if "_stored_at" in df.__dict__:
+            found = df.agg(*_sizes(df)).first().asDict()
+        else:
+            seen = Observation()
+            df = _write(df, df.observe(seen, *_sizes(df)), name)
+            found = seen.get
+        df.__dict__["_rows"], df.__dict__["_bytes"] = int(found["rows"]), int(found["bytes"])
+    return df, df.__dict__["_rows"], df.__dict__["_bytes"]
+
+
+def release(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> int:
+    """Delete the tables written since ``since`` (a value of ``written()``) but that of ``keep``; how many went.
+
+    For jobs of several steps: what a step read and wrote in between is of no use once its result is written.
+    """
+    spared = keep.__dict__.get("_stored_at") if keep is not None else None
+    gone, left = _WRITTEN[since:], []
+    for path in gone:
+        if path == spared:
+            left.append(path)
+            continue
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    _WRITTEN[since:] = left
+    return len(gone) - len(left)
+
+
+def written() -> int:
+    """How many tables this process has written and not released."""
+    return len(_WRITTEN)
 
 
 def shuffle_width(spark: SparkSession) -> int:

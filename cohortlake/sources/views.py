@@ -146,6 +146,27 @@ def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_lineage(placed.select("param", "chain", "iter", "draw"))
 
 
+# Slopes' offsets per feature (fixed values).
+SLOPE_OFFSETS = {"click": 0.1, "view": 0.2, "purchase": -0.1, "signup": -0.2, "error": 0.0}
+
+
+def joint_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draws of all parameters of a model at once: a slope per event type, intercept, total, fixed slope, sigma."""
+    level = F.log("value") - 3.0
+    event = F.col("event_id")
+    values = {
+        **{name: level / 4.0 + offset for name, offset in SLOPE_OFFSETS.items()},
+        "alpha": level / 2.0 - 0.2,
+        "b_total": (F.col("user_id") % 10) / 20.0,
+        "b_third": (event % 7 - 3) / 10.0,
+        "sigma": 1.0 + (event % 5) / 10.0,
+    }
+    rows = F.array(*[F.struct(F.lit(name).alias("param"), v.alias("draw")) for name, v in values.items()])
+    return table(spark, sf_dir, "events").select(
+        (event % 4).cast("int").alias("chain"), (F.floor(event / 4) + 1).cast("long").alias("iter"), F.inline(rows)
+    )
+
+
 def sampler(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         (F.col("event_id") % 4).cast("int").alias("chain"),
@@ -289,6 +310,16 @@ VIEW_SQL = {
                row_number() OVER (PARTITION BY event_type, event_id % 4 ORDER BY event_id) AS iter,
                ln(value) - 3.0 AS draw
         FROM events""",
+    "joint_draws": """
+        SELECT param, CAST(event_id % 4 AS INTEGER) AS chain, event_id // 4 + 1 AS iter, draw FROM (
+            SELECT event_id, unnest([{slopes}, 'alpha', 'b_total', 'b_third', 'sigma']) AS param,
+                   unnest([{offsets}, (ln(value) - 3.0) / 2.0::DOUBLE - 0.2,
+                           (user_id % 10) / 20.0::DOUBLE, (event_id % 7 - 3) / 10.0::DOUBLE,
+                           1.0::DOUBLE + (event_id % 5) / 10.0::DOUBLE]) AS draw
+            FROM events)""".format(
+        slopes=", ".join(f"'{name}'" for name in SLOPE_OFFSETS),
+        offsets=", ".join(f"(ln(value) - 3.0) / 4.0::DOUBLE + {offset}" for offset in SLOPE_OFFSETS.values()),
+    ),
     "sampler": f"""
         SELECT CAST(event_id % 4 AS INTEGER) AS chain, event_id // 4 + 1 AS iter,
                CAST({_K} > 97 AS INTEGER) AS divergent,

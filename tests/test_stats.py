@@ -158,14 +158,68 @@ def test_rhat_of_equal_chains_is_near_one(spark):
     assert ranked["far"] > 1.5
 
 
-def test_chains_are_cut_to_the_shortest(spark):
+def dense_spread(groups):
+    """Draws, groups, pooled variance within and weighted variance between; every draw counts once."""
+    sizes = np.array([len(g) for g in groups], float)
+    means = np.array([g.mean() for g in groups])
+    grand = np.concatenate(groups).mean()
+    within = sum(((g - g.mean()) ** 2).sum() for g in groups) / (sizes - 1).sum()
+    between = (sizes * (means - grand) ** 2).sum() / sizes.mean() / (len(groups) - 1)
+    n, m = sizes.sum(), len(groups)
+    return n, within, (n - m) / n * within + between
+
+
+def dense_rhat(chains):
+    halves = [h for c in chains for h in (c[: len(c) // 2], c[len(c) // 2 :])]
+    _, within, total = dense_spread(halves)
+    return math.sqrt(total / within)
+
+
+def dense_ess(chains):
+    n, within, total = dense_spread(chains)
+    centred = [c - c.mean() for c in chains]
+    longest = max(map(len, chains))
+    rho = [1.0]
+    for lag in range(1, longest):
+        products = sum(float(c[: len(c) - lag] @ c[lag:]) for c in centred if len(c) > lag)
+        rho.append(1 - (within - products / n) / total)
+    low, held = math.inf, 0.0
+    for k in range(longest // 2):
+        low = min(low, rho[2 * k] + rho[2 * k + 1])
+        if low <= 0:
+            break
+        held += low
+    return n / (2 * held - 1)
+
+
+@pytest.mark.parametrize("block", [2048, 64])
+def test_no_draw_of_unequal_chains_is_dropped(spark, monkeypatch, block):
+    monkeypatch.setattr(posterior, "LAG_BLOCK", block)
+    rng = np.random.default_rng(block)
+    params = {
+        name: [ar_chains(rng, 1, n, phi)[0] + shift * k for k, n in enumerate((200, 1000, 40))]
+        for name, phi, shift in (("slow", 0.97, 0.0), ("fast", 0.2, 0.0), ("apart", 0.5, 1.0))
+    }
+    params["odd"] = [rng.standard_normal(n) for n in (7, 1, 21)]
+    df = as_draws(spark, **params)
+    sizes = {r.param: r for r in posterior.effective_size(df, first_lags=8).collect()}
+    assert {p: r.n_eff for p, r in sizes.items()} == pytest.approx({p: dense_ess(c) for p, c in params.items()})
+    assert {p: (r.chains, r.draws) for p, r in sizes.items()} == {p: (3, sum(map(len, c))) for p, c in params.items()}
+    wide = {p: c for p, c in params.items() if p != "odd"}
+    scale = {r.param: r.rhat for r in posterior.split_rhat(df).collect()}
+    assert {p: scale[p] for p in wide} == pytest.approx({p: dense_rhat(c) for p, c in wide.items()})
+    summary = {r.param: r for r in posterior.draw_summary(df, {"q50": 0.5}).collect()}
+    for p, chains in wide.items():
+        every = np.concatenate(chains)
+        want = (every.mean(), every.std(ddof=1), every.std(ddof=1) / math.sqrt(dense_ess(chains)), np.median(every))
+        assert (summary[p]["mean"], summary[p].sd, summary[p].se_mean, summary[p].q50) == pytest.approx(want)
+
+
+def test_rank_rhat_of_unequal_chains_sees_the_long_chains_end(spark):
     rng = np.random.default_rng(2)
-    even = rng.standard_normal((2, 60))
-    ragged = as_draws(spark, p=even).unionByName(
-        spark.createDataFrame([("p", 0, 61 + i, 99.0) for i in range(5)], "param string, chain int, iter long, draw double")
-    )
-    want = posterior.split_rhat(as_draws(spark, p=even)).first().rhat
-    assert posterior.split_rhat(ragged).first().rhat == pytest.approx(want)
+    long = np.r_[rng.standard_normal(60), rng.standard_normal(400) + 6]
+    out = {r.param: r.rhat for r in posterior.rank_rhat(as_draws(spark, p=[long, rng.standard_normal(60)])).collect()}
+    assert out["p"] > 1.4
 
 
 def test_hpdi_of_ten_draws(spark):
