@@ -70,9 +70,12 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write a table to the shared folder once and go on from the columnar copy.
 
     For large inputs of several passes: later scans read only the columns they
-    need, and a lost executor costs a re-read, not a recomputation.
+    need, and a lost executor costs a re-read, not a recomputation. Rows and bytes of flat
+    tables are taken on the way, for ``sized``.
     """
-    return _write(df, df, name)
+    if any(isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) for f in df.schema.fields):
+        return _write(df, df, name)
+    return sized(df, name, again=True)[0]
 
 
 def _write(df: DataFrame, as_written: DataFrame, name: str) -> DataFrame:
@@ -119,10 +122,13 @@ def _sizes(df: DataFrame) -> list[Column]:
     return [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(each), F.lit(0)).alias("bytes")]
 
 
-def sized(df: DataFrame, name: str = "table") -> tuple[DataFrame, int, int]:
-    """A written copy (or the table itself, if it is one) with its rows and bytes, which are taken while it is written."""
-    if "_bytes" not in df.__dict__:
-        if "_stored_at" in df.__dict__:
+def sized(df: DataFrame, name: str = "table", again: bool = False) -> tuple[DataFrame, int, int]:
+    """A written copy (or the table itself, if it is one) with its rows and bytes, which are taken while it is written.
+
+    ``again``: a copy even of a written table.
+    """
+    if again or "_bytes" not in df.__dict__:
+        if "_stored_at" in df.__dict__ and not again:
             found = df.agg(*_sizes(df)).first().asDict()
         else:
             seen = Observation()
@@ -132,26 +138,22 @@ def sized(df: DataFrame, name: str = "table") -> tuple[DataFrame, int, int]:
     return df, df.__dict__["_rows"], df.__dict__["_bytes"]
 
 
-def release(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> int:
-    """Delete the tables written since ``since`` (a value of ``written()``) but that of ``keep``; how many went.
+def written(since: int = 0) -> list[str]:
+    """Paths of the tables this process has written and not released, from the ``since``-th on."""
+    return _WRITTEN[since:]
+
+
+def release(spark: SparkSession, paths: list[str], keep: DataFrame | None = None) -> None:
+    """Delete written tables that nothing reads any more, but that of ``keep``.
 
-    For jobs of several steps: what a step read and wrote in between is of no use once its result is written.
+    For jobs of several steps: what a step wrote on its way is of no use once its result is written.
     """
     spared = keep.__dict__.get("_stored_at") if keep is not None else None
-    gone, left = _WRITTEN[since:], []
-    for path in gone:
-        if path == spared:
-            left.append(path)
-            continue
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    _WRITTEN[since:] = left
-    return len(gone) - len(left)
-
-
-def written() -> int:
-    """How many tables this process has written and not released."""
-    return len(_WRITTEN)
+    for path in paths:
+        if path != spared and path in _WRITTEN:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            _WRITTEN.remove(path)
 
 
 def shuffle_width(spark: SparkSession) -> int:
