@@ -248,5 +248,8 @@ def judge(df: DataFrame, id_col: str = "doc_id", text: str = "text", host: str =
 def keep_good(df: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", **limits) -> DataFrame:
     """The rows of the documents that pass, their texts without the removed lines."""
     others = [c for c in df.columns if c != text]
-    good = _verdicts(df, others, id_col, text, host, **limits).where("kept")
-    return good.select(*[(F.col("clean_text") if c == text else F.col("carried")[c]).alias(c) for c in df.columns])
+    verdicts = _verdicts(df, others, id_col, text, host, **limits)
+    columns = [(F.col("clean_text") if c == text else F.col("carried")[c]).alias(c) for c in df.columns]
+    # A filter on ``kept`` would be pushed below, and all that it stands for computed twice.
+    row = F.struct(F.col("kept").alias("good"), F.struct(*columns).alias("row"))
+    return verdicts.select(F.inline(F.filter(F.array(row), lambda r: r["good"]))).select("row.*")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlake.llm.components import connected_components
-from cohortlake.llm.words import in_chunks, mix, shingle_sets
+from cohortlake.llm.words import free_name, in_chunks, mix, shingle_sets
 from cohortlake.session import materialize
 
 PERMUTATIONS = 60
@@ -271,9 +271,18 @@ def drop_near_duplicates(
     again = materialize(
         found.where("id IS NOT NULL").groupBy("id").count().where("count > 1").select(F.col("id").alias(id_col)), "again"
     )
-    left = df.join(gone, id_col, "left_anti").select(df.columns)
+    left = _without(df, gone, id_col)
     if again.isEmpty():
         return left
     others = [F.struct(*df.columns).alias("row")]
     once = left.join(again, id_col, "left_semi").groupBy(id_col).agg(F.min(others[0]).alias("row")).select("row.*")
-    return left.join(again, id_col, "left_anti").select(df.columns).unionByName(once)
+    return _without(left, again, id_col).unionByName(once)
+
+
+def _without(df: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """The rows whose id is not in ``gone``; the table is shuffled by id once at any size of ``gone``, null ids by all columns."""
+    names = free_name(df, "gone_null", "gone_key")
+    lost, key = names["gone_null"], names["gone_key"]
+    keyed = df.withColumns({lost: F.col(id_col).isNull(), key: F.coalesce(F.col(id_col).cast("long"), F.xxhash64(*df.columns))})
+    listed = gone.select(F.lit(False).alias(lost), F.col(id_col).cast("long").alias(key))
+    return keyed.hint("merge").join(listed, [lost, key], "left_anti").select(df.columns)

@@ -184,6 +184,7 @@ def take_mix(df: DataFrame, id_col: str = "doc_id", source: str = "source", text
         & F.col(source).eqNullSafe(F.col(names["mix_source"]))
         & (count_words(F.col(text)) == F.col(names["mix_size"]))
     )
-    joined = df.join(chosen, same)
+    # One plan at any size: the texts are shuffled once.
+    joined = df.hint("merge").join(chosen, same)
     copy = F.explode(F.sequence(F.lit(1), F.col(names["mix_copies"])))
     return joined.withColumn(names["mix_copy"], copy).select(df.columns)
