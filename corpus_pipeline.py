@@ -2,16 +2,22 @@
 
 Stages: quality rules, near-duplicates (five-word shingles, similarity 0.8), secrets masked,
 sources mixed, texts encoded. All but the last return the columns of ``documents``.
+A stage begins by deleting what the stage before wrote on its way to its result.
+
+Rows: a null or empty text fails the quality rules and goes. Null ids, languages and sources stay what
+they are; rows that repeat an id are decided as the operators say. An empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlake.llm import line_rules, minmax_dedup, mixing, piece_codec, secret_scan
 from cohortlake.llm.queries import table, tokenizer_path
-from cohortlake.session import materialize
+from cohortlake.session import materialize, release, written
 
 # SQL has no near-duplicates with these bounds, forest or tokenizer.
 ORACLE_SQL = None
@@ -51,12 +57,29 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
+_LEFT: list[str] = []
+
+
+def _stage(function):
+    """The stage, which first releases the tables that the one before it wrote on its way."""
+
+    @functools.wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _LEFT, keep=docs)
+        begun = len(written())
+        result = function(spark, docs, sf_dir)
+        _LEFT[:] = written(begun)
+        return result
+
+    return run_stage
+
+
 STAGES = [
-    ("quality rules", quality_rules),
-    ("near-duplicates", near_dedup),
-    ("secrets", secrets),
-    ("mixing", mix),
-    ("encoding", encode),
+    ("quality rules", _stage(quality_rules)),
+    ("near-duplicates", _stage(near_dedup)),
+    ("secrets", _stage(secrets)),
+    ("mixing", _stage(mix)),
+    ("encoding", _stage(encode)),
 ]
 
 
