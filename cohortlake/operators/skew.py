@@ -47,7 +47,7 @@ def skew_join(
 ) -> DataFrame:
     """Join a fact table to a table with few rows per key, splitting hot keys.
 
-    The keyed table is written once, and its rows and bytes are taken while it is. With no more than
+    The keyed table is written once, and its rows and bytes are taken from the copy. With no more than
     ``broadcast_rows`` rows (``BROADCAST_ROWS``, or less) and ``BROADCAST_BYTES`` it is broadcast, and the
     fact table stays where it is, read once. Beyond that both sides are shuffled and hot keys are split: a key is hot when it holds more than one shuffle partition's
     fair share of the rows, so there are fewer hot keys than shuffle partitions.

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,17 +70,10 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write a table to the shared folder once and go on from the columnar copy.
 
     For large inputs of several passes: later scans read only the columns they
-    need, and a lost executor costs a re-read, not a recomputation. Rows and bytes of flat
-    tables are taken on the way, for ``sized``.
+    need, and a lost executor costs a re-read, not a recomputation.
     """
-    if any(isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) for f in df.schema.fields):
-        return _write(df, df, name)
-    return sized(df, name, again=True)[0]
-
-
-def _write(df: DataFrame, as_written: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
-    as_written.write.parquet(path)
+    df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.__dict__["_stored_at"] = path
     _WRITTEN.append(path)
@@ -102,7 +95,7 @@ def reread(df: DataFrame, name: str = "table") -> DataFrame:
         return df
     lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
     heads = {found[1] for line in lines if (found := re.match(r"[\s:+|-]*(\w+)", line))}
-    return df if heads <= _CHEAP else sized(df, name)[0]
+    return df if heads <= _CHEAP else materialize(df, name)
 
 
 def _width(field: T.StructField) -> Column:
@@ -117,23 +110,16 @@ def _width(field: T.StructField) -> Column:
     return F.lit(16)
 
 
-def _sizes(df: DataFrame) -> list[Column]:
-    each = sum((_width(f) for f in df.schema.fields), F.lit(16)).cast("long")
-    return [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(each), F.lit(0)).alias("bytes")]
-
-
-def sized(df: DataFrame, name: str = "table", again: bool = False) -> tuple[DataFrame, int, int]:
-    """A written copy (or the table itself, if it is one) with its rows and bytes, which are taken while it is written.
+def sized(df: DataFrame, name: str = "table") -> tuple[DataFrame, int, int]:
+    """A written copy (or the table itself, if it is one) with its rows and bytes in memory, read from the copy.
 
-    ``again``: a copy even of a written table.
+    Not by ``DataFrame.observe``: a session that has observed anything cannot be serialised any more, and Spark's
+    fitted models carry their session to the tasks.
     """
-    if again or "_bytes" not in df.__dict__:
-        if "_stored_at" in df.__dict__ and not again:
-            found = df.agg(*_sizes(df)).first().asDict()
-        else:
-            seen = Observation()
-            df = _write(df, df.observe(seen, *_sizes(df)), name)
-            found = seen.get
+    df = stored(df, name)
+    if "_bytes" not in df.__dict__:
+        each = sum((_width(f) for f in df.schema.fields), F.lit(16)).cast("long")
+        found = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(each), F.lit(0)).alias("bytes")).first()
         df.__dict__["_rows"], df.__dict__["_bytes"] = int(found["rows"]), int(found["bytes"])
     return df, df.__dict__["_rows"], df.__dict__["_bytes"]
 
