@@ -129,10 +129,10 @@ def test_frequent_lines_are_removed_and_depleted_documents_rejected(spark):
     own = own_line
     menu = " ".join(f"menu{k}" for k in range(55))
     rows = [(i, own(i) + "\n" + menu, "h") for i in range(40)]  # menu is under half of each
-    rows += [(100 + i, f"{menu}\nonly {i}", "h") for i in range(5)]  # nearly nothing but the menu
+    rows += [(100 + i, f"{menu}\nonly {'abcde'[i]}", "h") for i in range(5)]  # nearly nothing but the menu
     rows += [(200 + i, menu + "\n" + own(7), "other") for i in range(3)]  # not frequent on its host
     rows += [(300 + i, own(999) + "\n" + menu, "h") for i in range(50)]  # copies count once
-    rows += [(None, None, None), (400, "", "h"), (101, f"{menu}\nonly 1", "h")]
+    rows += [(None, None, None), (400, "", "h"), (101, f"{menu}\nonly b", "h")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("words", F.lit(1))
     out = {r.id: r for r in line_rules.judge(df).collect()}
     assert all(out[i].kept for i in range(40)) and all(out[200 + i].kept for i in range(3))
