@@ -30,6 +30,11 @@ def wilcoxon_ranksum(df: DataFrame, group: str, variables: Sequence[str]) -> Dat
     per_value = long.groupBy("variable", "value").agg(
         F.count(F.lit(1)).alias("ties"), F.count_if(~F.col(group)).alias("first")
     )
+    return ranksum_of_counts(per_value)
+
+
+def ranksum_of_counts(per_value: DataFrame) -> DataFrame:
+    """The same from ``variable, value, ties, first``: of each distinct value its rows, and those of the first group."""
     ranked = running_total(per_value, ["variable"], [F.col("value")], through=F.col("ties"))
     mid_rank = F.col("through") - (F.col("ties") - 1) / 2.0
     t = F.col("ties").cast("double")

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlake.operators.ranks import exact_quantiles, with_position
+from cohortlake.operators.ranktests import chi_square, fisher_exact, ranksum_of_counts
 from cohortlake.operators.skew import join_null_safe, skew_join, with_one_row
-from cohortlake.session import cut_lineage
+from cohortlake.session import cut_lineage, materialize
 
 
 def count_by(df: DataFrame, keys: Sequence[str], out: str = "n") -> DataFrame:
@@ -131,65 +132,90 @@ def density_grid(df: DataFrame, keys: Sequence[str], value: str, points: int, bi
 def summary_by_stratum(
     df: DataFrame, stratum: str, continuous: Sequence[str], categorical: Sequence[str]
 ) -> DataFrame:
-    """Table one: each variable, overall and by stratum.
+    """Table one: each variable, overall (``is_overall``) and by stratum, with missing counts and a test between strata.
 
-    Continuous variables give count, median and quartiles; categories give count
-    and share of the non-missing. ``level`` is null for continuous variables.
+    Continuous variables give count, missing count, median and quartiles; categories give a count and share of the
+    non-missing per level, beside the missing count of the variable. ``level`` is null for continuous
+    variables and for a categorical one without any value. Overall rows have the stratum ``overall``; a stratum
+    of that name keeps rows of its own, and so do rows without a stratum.
+
+    ``p_value`` is the variable's, the same on all its rows: the rank-sum test of two strata for numbers; for
+    categories the exact test of 2x2 tables with an expected count below five, else the chi-square test. It is null
+    where there are not two strata (for numbers: exactly two) or no spread. Rows without a stratum are in no test.
     """
     rows = df.withColumn("_in", F.col(stratum).cast("string"))
     parts = []
     if continuous:
-        parts.append(_number_rows(rows, continuous))
+        parts.append(_number_rows(_counted(rows, "double", continuous)))
     if categorical:
-        parts.append(_level_rows(rows, categorical))
+        parts.append(_level_rows(_counted(rows, "string", categorical)))
     return functools.reduce(DataFrame.unionByName, parts)
 
 
-def _counted(rows: DataFrame, kind: str, variables: Sequence[str], value: str) -> DataFrame:
-    """Count per (variable, stratum, value), then once more for all strata together.
+_SUMMARY_KEYS = ["variable", "_all", "_in"]
 
-    Only counts are doubled, not rows.
-    """
-    counts = (
-        rows.select("_in", *[F.col(v).cast(kind).alias(v) for v in variables])
-        .unpivot(["_in"], list(variables), "variable", value)
-        .where(F.col(value).isNotNull())
-        .groupBy("variable", "_in", value)
-        .agg(F.count(F.lit(1)).alias("_c"))
+
+def _counted(rows: DataFrame, kind: str, variables: Sequence[str]) -> DataFrame:
+    """``variable, _all, _in, _value, _c``: each value's count by stratum and, with ``_all``, over all rows; null values, too."""
+    long = rows.select("_in", *[F.col(v).cast(kind).alias(v) for v in variables]).unpivot(
+        ["_in"], list(variables), "variable", "_value"
     )
-    return counts.select("variable", F.explode(F.array(F.lit("overall"), F.col("_in"))).alias("_in"), value, "_c")
-
-
-def _number_rows(rows: DataFrame, continuous: Sequence[str]) -> DataFrame:
-    numbers = cut_lineage(_counted(rows, "double", continuous, "_value"))
-    keys = ["variable", "_in"]
-    sizes = numbers.groupBy(*keys).agg(F.sum("_c").alias("n"))
-    quartiles = exact_quantiles(numbers, keys, "_value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, weight="_c")
-    return join_null_safe(sizes, quartiles, keys).select(
-        "variable",
-        F.col("_in").alias("stratum"),
-        F.lit(None).cast("string").alias("level"),
-        "n",
-        "median",
-        "q1",
-        "q3",
-        F.lit(None).cast("double").alias("percent"),
+    counts = long.groupingSets(
+        [["variable", "_value", "_in"], ["variable", "_value"]], "variable", "_value", "_in"
+    ).agg(F.grouping("_in").cast("int").alias("_all"), F.count(F.lit(1)).alias("_c"))
+    return materialize(counts.select("variable", "_all", "_in", "_value", "_c"), "value-counts")
+
+
+def _sizes(counts: DataFrame) -> DataFrame:
+    there, missing = F.col("_value").isNotNull(), F.col("_value").isNull()
+    return counts.groupBy(*_SUMMARY_KEYS).agg(
+        F.coalesce(F.sum(F.when(there, F.col("_c"))), F.lit(0)).alias("n"),
+        F.coalesce(F.sum(F.when(missing, F.col("_c"))), F.lit(0)).alias("n_missing"),
     )
 
 
-def _level_rows(rows: DataFrame, categorical: Sequence[str]) -> DataFrame:
-    keys = ["variable", "_in"]
-    levels = (
-        _counted(rows, "string", categorical, "level").groupBy(*keys, "level").agg(F.sum("_c").alias("n"))
+def _summary_columns(**columns: Column) -> list[Column]:
+    numbers = {c: F.lit(None).cast("double") for c in ("median", "q1", "q3", "percent")}
+    every = {"level": F.lit(None).cast("string"), "n": F.col("n"), "n_missing": F.col("n_missing"), **numbers, **columns}
+    name = F.when(F.col("_all") == 1, F.lit("overall")).otherwise(F.col("_in")).alias("stratum")
+    return ["variable", (F.col("_all") == 1).alias("is_overall"), name, *[c.alias(n) for n, c in every.items()], "p_value"]
+
+
+def _number_rows(counts: DataFrame) -> DataFrame:
+    quartiles = exact_quantiles(counts, _SUMMARY_KEYS, "_value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, weight="_c")
+    tested = counts.where("_all = 0 AND _in IS NOT NULL AND _value IS NOT NULL")
+    # The test has a name for two strata only: the smaller one is the first.
+    pair = tested.groupBy("variable").agg(F.min("_in").alias("_low"), F.max("_in").alias("_high"), F.count_distinct("_in").alias("_k"))
+    pair = pair.where("_k = 2")
+    per_value = join_null_safe(tested, pair, ["variable"]).groupBy("variable", F.col("_value").alias("value")).agg(
+        F.sum("_c").alias("ties"), F.sum(F.when(F.col("_in") == F.col("_low"), F.col("_c")).otherwise(F.lit(0))).alias("first")
+    )
+    p = ranksum_of_counts(per_value).select("variable", "p_value")
+    joined = join_null_safe(join_null_safe(_sizes(counts), quartiles, _SUMMARY_KEYS, "left"), p, ["variable"], "left")
+    return joined.select(*_summary_columns(**{c: F.col(c) for c in ("median", "q1", "q3")}))
+
+
+def _level_rows(counts: DataFrame) -> DataFrame:
+    levels = counts.where("_value IS NOT NULL").withColumnRenamed("_c", "_level_n")
+    tested = levels.where("_all = 0 AND _in IS NOT NULL").select("variable", "_in", F.col("_value").alias("level"), F.col("_level_n").alias("n"))
+    tested = materialize(tested, "tested-levels")
+    general = chi_square(tested, ["variable"], "_in", "level", "n").where("dof > 0").select("variable", F.col("p_value").alias("_chi"))
+    # Tables of two strata and two levels as one row.
+    ends = tested.groupBy("variable").agg(
+        F.min("_in").alias("_s"), F.count_distinct("_in").alias("_strata"), F.min("level").alias("_l"), F.count_distinct("level").alias("_levels")
+    )
+    of = lambda s, l: F.coalesce(F.sum(F.when(((F.col("_in") == F.col("_s")) == F.lit(s)) & ((F.col("level") == F.col("_l")) == F.lit(l)), F.col("n"))), F.lit(0))
+    small = join_null_safe(tested, ends.where("_strata = 2 AND _levels = 2"), ["variable"]).groupBy("variable").agg(
+        of(True, True).alias("a"), of(True, False).alias("b"), of(False, True).alias("c"), of(False, False).alias("d")
     )
-    whole = levels.groupBy(*keys).agg(F.sum("n").alias("_all"))
-    return join_null_safe(levels, whole, keys).select(
-        "variable",
-        F.col("_in").alias("stratum"),
-        "level",
-        "n",
-        *[F.lit(None).cast("double").alias(c) for c in ("median", "q1", "q3")],
-        (F.col("n") * 100.0 / F.col("_all")).alias("percent"),
+    total = F.col("a") + F.col("b") + F.col("c") + F.col("d")
+    least = F.least(F.col("a") + F.col("b"), F.col("c") + F.col("d")) * F.least(F.col("a") + F.col("c"), F.col("b") + F.col("d"))
+    exact = fisher_exact(small.where(least < 5 * total), ["variable"], "a", "b", "c", "d").select("variable", F.col("p_value").alias("_fisher"))
+    p = join_null_safe(general, exact, ["variable"], "left").select("variable", F.coalesce("_fisher", "_chi").alias("p_value"))
+    sizes = _sizes(counts).withColumnRenamed("n", "_there")
+    joined = join_null_safe(join_null_safe(sizes, levels, _SUMMARY_KEYS, "left"), p, ["variable"], "left")
+    return joined.withColumn("n", F.coalesce("_level_n", F.lit(0).cast("long"))).select(
+        *_summary_columns(level=F.col("_value"), percent=F.try_divide(F.col("_level_n") * 100.0, F.col("_there")))
     )
 
 

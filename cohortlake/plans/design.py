@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from cohortlake.operators.frames import feature_columns
 from cohortlake.operators.groups import first_distinct_index
-from cohortlake.operators.skew import keep_groups, skew_join
+from cohortlake.operators.skew import attach_stats, keep_groups, skew_join
 from cohortlake.operators.summaries import zscore
-from cohortlake.session import cut_lineage, materialize
+from cohortlake.session import materialize
 
 
 def design_matrix(
@@ -26,13 +26,12 @@ def design_matrix(
     """Scaled, indexed rows (sample, outcome…, feature, x, total, fixed…, feature_num).
 
     ``outcomes`` has one row per sample and ``keep`` selects among them; ``chosen``
-    features become fixed columns. Features never seen in the kept samples are
+    features become fixed columns. Totals are those of the kept samples. Features never seen in the kept samples are
     dropped. A fixed column without spread cannot be scaled: it is dropped and
     named in the second result.
     """
     kept = skew_join(counts, outcomes.where(keep), [sample])
-    totals = cut_lineage(counts.groupBy(sample).agg(F.sum(n).alias("total"), F.count(F.lit(1)).alias("_k")))
-    with_total = skew_join(kept, totals, [sample], rows="_k")
+    with_total = attach_stats(kept, [sample], total=F.sum(n))
     rows = feature_columns(with_total, [sample], feature, n, chosen, F.lit(0).cast("long"))
     # Read for the spread, the scaling, the index and the result.
     seen = materialize(keep_groups(rows, [feature], F.sum(n) > 0).withColumnRenamed(n, "x"), "design-rows")
@@ -41,5 +40,5 @@ def design_matrix(
     scaled = zscore(
         seen.drop(*flat), {c: c for c in ["x", "total", *[c for c in chosen.values() if c not in flat]]}
     )
-    index = cut_lineage(first_distinct_index(seen, feature, "feature_num"))
+    index = first_distinct_index(seen, feature, "feature_num")
     return skew_join(scaled, index, [feature]), flat

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,10 @@ from pyspark.sql import functions as F
 from cohortlake.functions.labels import certainty_class, matches
 from cohortlake.operators.frames import member_filter, tagged_union
 from cohortlake.operators.groups import any_replicate_hit
-from cohortlake.operators.transforms import exp_scale
+from cohortlake.operators.skew import skew_join
+from cohortlake.operators.summaries import zscore
+from cohortlake.operators.transforms import clr, exp_scale
+from cohortlake.session import materialize
 
 
 def apart(low: str, high: str) -> Column:
@@ -24,6 +28,45 @@ def with_certainty(effects: DataFrame) -> DataFrame:
     )
 
 
+def transform_effects(
+    counts: DataFrame,
+    outcomes: DataFrame,
+    sample: str,
+    feature: str,
+    n: str,
+    cohort: str,
+    outcome: str,
+    quantiles: Mapping[str, float],
+    pooled: str = "Pooled",
+) -> dict[str, DataFrame]:
+    """Effects of each feature on a 0/1 outcome under two transforms, per cohort and pooled: ``feature, cohort`` and quantiles.
+
+    ``Scaled``: counts centred and scaled over the table. ``CLR Transformed``: log counts less their sample's mean log;
+    cells without a count are left out. One grouped pass gives the sums of both. An effect is the log odds
+    ratio of one scoring step from no effect, ``cov(x, y) / (p (1 - p) var(x))``, with its standard error and normal quantiles;
+    groups without spread in x or y have none. ``outcomes``: ``sample, cohort, outcome``, one row per sample.
+    """
+    seen = clr(skew_join(counts.where(F.col(n) > 0), outcomes, [sample]).select(sample, feature, cohort, outcome, n), sample, n, "_clr")
+    cells = zscore(seen, {n: "_scaled"})
+    x_of = {"Scaled": "_scaled", "CLR Transformed": "_clr"}
+    named = cells.withColumn("_in", F.col(cohort).cast("string"))
+    sums = named.groupingSets([[feature, "_in"], [feature]], feature, "_in").agg(
+        F.when(F.grouping("_in") == 1, F.lit(pooled)).otherwise(F.col("_in")).alias("_cohort"),
+        F.avg(outcome).alias("_p"),
+        F.count(F.lit(1)).alias("_k"),
+        *[F.covar_pop(x, outcome).alias(f"c{x}") for x in x_of.values()],
+        *[F.var_pop(x).alias(f"v{x}") for x in x_of.values()],
+    )
+    sums = materialize(sums.drop("_in"), "transform-sums")
+    tables = {}
+    for form, x in x_of.items():
+        curve = F.col("_p") * (1 - F.col("_p")) * F.col(f"v{x}")
+        effect, error = F.col(f"c{x}") / curve, 1 / F.sqrt(F.col("_k") * curve)
+        bounds = [(effect + error * F.lit(NormalDist().inv_cdf(p))).alias(q) for q, p in quantiles.items()]
+        tables[form] = sums.where(curve > 0).select(feature, F.col("_cohort").alias(cohort), *bounds)
+    return tables
+
+
 def effect_compare(
     tables: Mapping[str, DataFrame], tag: str, feature: str, included: DataFrame, bounds: Sequence[str]
 ) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortlake.operators import summaries as S
 from cohortlake.registry import query
+from cohortlake.registry.testing import normal_tail_sql, ranksum_sql
 from cohortlake.sources import views as V
 from cohortlake.sources.views import sql_with, table
 
@@ -145,29 +146,38 @@ _CATEGORICAL = ["last_status", "segment"]
 
 
 def summary_sql(continuous, categorical) -> str:
-    numbers = " UNION ALL ".join(
-        f"SELECT '{c}' AS variable, stratum, CAST({c} AS DOUBLE) AS v FROM both_strata" for c in continuous
-    )
-    levels = " UNION ALL ".join(
-        f"SELECT '{c}' AS variable, stratum, CAST({c} AS VARCHAR) AS level FROM both_strata" for c in categorical
-    )
+    """Every variable overall and by stratum, with its test: normal law by the error function's series, chi-square of even degrees by its finite sum."""
+    numbers = " UNION ALL ".join(f"SELECT '{c}' AS variable, stratum, all_rows, CAST({c} AS DOUBLE) AS v FROM both_strata" for c in continuous)
+    levels = " UNION ALL ".join(f"SELECT '{c}' AS variable, stratum, all_rows, CAST({c} AS VARCHAR) AS level FROM both_strata" for c in categorical)
     return f"""
     WITH both_strata AS (
-        SELECT * EXCLUDE (stratum), CAST(stratum AS VARCHAR) AS stratum FROM subjects
-        UNION ALL SELECT * EXCLUDE (stratum), 'overall' FROM subjects),
-    l AS (SELECT variable, stratum, level, count(*) AS n FROM ({levels}) WHERE level IS NOT NULL GROUP BY ALL)
-    SELECT variable, stratum, CAST(NULL AS VARCHAR) AS level, count(v) AS n, round(median(v), 6) AS median,
-           round(quantile_cont(v, 0.25), 6) AS q1, round(quantile_cont(v, 0.75), 6) AS q3,
-           CAST(NULL AS DOUBLE) AS percent
-    FROM ({numbers}) WHERE v IS NOT NULL GROUP BY variable, stratum
+        SELECT * EXCLUDE (stratum), CAST(stratum AS VARCHAR) AS stratum, FALSE AS all_rows FROM subjects
+        UNION ALL SELECT * EXCLUDE (stratum), 'overall', TRUE FROM subjects),
+    num AS ({numbers}), cat AS ({levels}),
+    long AS (SELECT variable, stratum = 'true' AS grp, v FROM num WHERE NOT all_rows),
+    {ranksum_sql("long", "grp")},
+    p_num AS (SELECT variable, {normal_tail_sql('z')} AS p FROM ranksum),
+    cell AS (SELECT variable, stratum, level, count(*)::DOUBLE AS n FROM cat WHERE NOT all_rows AND level IS NOT NULL GROUP BY ALL),
+    chi AS (SELECT variable, sum(n) AS total, any_value(k) AS k, any_value(r) AS r, sum(n * n / (row_n * col_n)) AS s FROM (
+        SELECT *, sum(n) OVER (PARTITION BY variable, stratum) AS row_n, sum(n) OVER (PARTITION BY variable, level) AS col_n,
+               (SELECT count(DISTINCT level) FROM cell c WHERE c.variable = cell.variable) AS k,
+               (SELECT count(DISTINCT stratum) FROM cell c WHERE c.variable = cell.variable) AS r FROM cell) GROUP BY variable),
+    p_cat AS (SELECT variable, exp(-x / 2) * list_sum(list_transform(range(dof // 2), lambda i: pow(x / 2, i) / gamma(i + 1))) AS p
+              FROM (SELECT variable, total * (s - 1) AS x, CAST((k - 1) * (r - 1) AS BIGINT) AS dof FROM chi)),
+    sized AS (SELECT variable, stratum, all_rows, count(level) AS whole, count(*) - count(level) AS n_missing FROM cat GROUP BY ALL),
+    l AS (SELECT variable, stratum, all_rows, level, count(*) AS n FROM cat WHERE level IS NOT NULL GROUP BY ALL)
+    SELECT num.variable, all_rows AS is_overall, stratum, CAST(NULL AS VARCHAR) AS level, count(v) AS n, count(*) - count(v) AS n_missing,
+           round(median(v), 6) AS median, round(quantile_cont(v, 0.25), 6) AS q1, round(quantile_cont(v, 0.75), 6) AS q3,
+           CAST(NULL AS DOUBLE) AS percent, round(any_value(p), 6) AS p_value
+    FROM num LEFT JOIN p_num ON p_num.variable = num.variable GROUP BY num.variable, stratum, all_rows
     UNION ALL
-    SELECT variable, stratum, level, n, NULL, NULL, NULL,
-           round(n * 100.0::DOUBLE / sum(n) OVER (PARTITION BY variable, stratum), 6) FROM l"""
+    SELECT z.variable, z.all_rows, z.stratum, level, coalesce(n, 0), n_missing, NULL, NULL, NULL, round(n * 100.0::DOUBLE / whole, 6), round(p, 6)
+    FROM sized z LEFT JOIN l ON l.variable = z.variable AND l.stratum = z.stratum AND l.all_rows = z.all_rows
+    LEFT JOIN p_cat ON p_cat.variable = z.variable"""
 
 
 @query("summary_by_stratum", sql_with("subjects", summary_sql(_CONTINUOUS, _CATEGORICAL)))
 def _(spark, d):
     out = S.summary_by_stratum(V.subjects(spark, d), "stratum", _CONTINUOUS, _CATEGORICAL)
-    return out.select(
-        "variable", "stratum", "level", "n", *[F.round(c, 6).alias(c) for c in ("median", "q1", "q3", "percent")]
-    )
+    rounded = ("median", "q1", "q3", "percent", "p_value")
+    return out.select("variable", "is_overall", "stratum", "level", "n", "n_missing", *[F.round(c, 6).alias(c) for c in rounded])

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import functions as F
 
-from cohortlake.functions.normal import two_sided_p_sql
 from cohortlake.operators import fits as M
 from cohortlake.operators import frames as O
 from cohortlake.operators import groups as G
 from cohortlake.operators import ranktests as R
 from cohortlake.plans.design import design_matrix
 from cohortlake.plans.diversity import diversity_by_exposure
-from cohortlake.plans.effects import effect_compare, effect_counts
+from cohortlake.plans.effects import effect_compare, effect_counts, transform_effects
 from cohortlake.registry import query
 from cohortlake.sources import views as V
 from cohortlake.sources.views import sql_with, table
@@ -21,6 +22,13 @@ def _round(df, digits, *columns):
     return df.select(*[F.round(c, digits).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
+def normal_tail_sql(z: str) -> str:
+    """Two-sided tail of the normal law by the series of the error function, apart from the library's own expression."""
+    term = f"exp((2 * i + 1) * ln(abs({z}) / sqrt(2.0::DOUBLE)) - lgamma(i + 1.5::DOUBLE))"
+    series = f"exp(-pow({z}, 2) / 2) * list_sum(list_transform(range(0, 200), lambda i: {term}))"
+    return f"CASE WHEN {z} = 0 THEN 1.0::DOUBLE WHEN abs({z}) > 8 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1 - {series}) END"
+
+
 def ranksum_sql(rows: str, group: str) -> str:
     """Rank-sum statistics per variable of a (variable, group, v) row source."""
     return f"""
@@ -50,7 +58,7 @@ def ranksum_sql(rows: str, group: str) -> str:
         + ranksum_sql("long", "stratum")
         + f"""
         SELECT variable, n1 AS n_first, n2 AS n_second, round(w, 6) AS w, round(z, 6) AS z,
-               round({two_sided_p_sql('z')}, 6) AS p_value FROM ranksum""",
+               round({normal_tail_sql('z')}, 6) AS p_value FROM ranksum""",
     ),
 )
 def _(spark, d):
@@ -70,7 +78,7 @@ def _(spark, d):
         + ranksum_sql("long", "exposed")
         + f"""
         SELECT s.variable, s.stratum, s.n, s.median, s.q1, s.q3, round(w, 6) AS w, round(z, 6) AS z,
-               round({two_sided_p_sql('z')}, 6) AS p_value
+               round({normal_tail_sql('z')}, 6) AS p_value
         FROM (SELECT variable, stratum, count(*) AS n, round(median(v), 6) AS median,
                      round(quantile_cont(v, 0.25), 6) AS q1, round(quantile_cont(v, 0.75), 6) AS q3
               FROM (SELECT variable, CAST(exposed AS VARCHAR) AS stratum, v FROM long
@@ -233,7 +241,65 @@ def _scaled_design(spark, d):
     )
 
 
-@query("logistic_effects")
+def _newton_sql(fixed, steps: int, penalty: float) -> str:
+    """Newton steps on the whole fit, one CTE each: the slopes are taken out, the rest is solved by elimination."""
+    k = len(fixed) + 1
+    z = [*fixed, "1.0::DOUBLE"]
+    ridge = [f"{penalty}::DOUBLE" if j < len(fixed) else "0.0::DOUBLE" for j in range(k)]
+    out = [
+        "rows_of AS MATERIALIZED (SELECT feature, x / 500.0::DOUBLE AS x, y, total / 20000.0::DOUBLE AS total, "
+        "fix_1 / 500.0::DOUBLE AS fix_1, fix_2 / 500.0::DOUBLE AS fix_2, fix_3 / 500.0::DOUBLE AS fix_3, "
+        "count(*) OVER ()::DOUBLE AS n FROM design)",
+        "slope_0 AS (SELECT DISTINCT feature, 0.0::DOUBLE AS b FROM design)",
+        f"shared_0 AS (SELECT [{', '.join(['0.0::DOUBLE'] * k)}] AS g)",
+    ]
+    for i in range(steps):
+        eta = " + ".join(["b * x", *[f"g[{j + 1}] * {v}" for j, v in enumerate(z)]])
+        mean = lambda v: f"sum({v} / n)"
+        squares = [f"[{', '.join(mean(f'w * {u} * {v}') for v in z)}]" for u in z]
+        out.append(
+            f"""sums_{i} AS MATERIALIZED (SELECT feature, any_value(b) AS b, {mean('x * r')} + {penalty} * any_value(b) AS pull,
+            {mean('x * x * w')} + {penalty} AS curve, [{', '.join(mean(f'x * w * {v}') for v in z)}] AS c,
+            [{', '.join(mean(f'r * {v}') for v in z)}] AS q, [{', '.join(squares)}] AS m
+            FROM (SELECT *, p - y AS r, p * (1 - p) AS w FROM (
+                SELECT t.*, b, 1 / (1 + exp(-({eta}))) AS p FROM rows_of t JOIN slope_{i} s ON s.feature = t.feature, shared_{i}))
+            GROUP BY feature)"""
+        )
+        lines = []
+        for u in range(k):
+            cells = [
+                f"sum(m[{u + 1}][{v + 1}] - c[{u + 1}] * c[{v + 1}] / curve) + {ridge[u] if u == v else '0.0::DOUBLE'}" for v in range(k)
+            ]
+            cells.append(f"-(sum(q[{u + 1}] - c[{u + 1}] * pull / curve) + {ridge[u]} * any_value(g[{u + 1}]))")
+            lines.append(f"[{', '.join(cells)}]")
+        solved = f"SELECT [{', '.join(lines)}] AS a FROM sums_{i}, shared_{i}"
+        for u in range(1, k + 1):
+            solved = (
+                f"SELECT list_transform(a, lambda line, pos: CASE WHEN pos = {u} THEN list_transform(line, lambda v: v / line[{u}]) "
+                f"ELSE list_transform(line, lambda v, j: v - line[{u}] / a[{u}][{u}] * a[{u}][j]) END) AS a FROM ({solved})"
+            )
+        out.append(f"move_{i} AS MATERIALIZED (SELECT list_transform(a, lambda line: line[{k + 1}]) AS d FROM ({solved}))")
+        out.append(f"shared_{i + 1} AS MATERIALIZED (SELECT list_transform(g, lambda v, j: v + d[j]) AS g FROM shared_{i}, move_{i})")
+        out.append(
+            f"slope_{i + 1} AS MATERIALIZED (SELECT feature, b + (-pull - list_inner_product(c, d)) / curve AS b FROM sums_{i}, move_{i})"
+        )
+    return ",\n".join(out)
+
+
+_NEWTON_STEPS = 10
+
+
+@query(
+    "logistic_effects",
+    sql_with(
+        "design",
+        "WITH "
+        + _newton_sql(["total", "fix_1", "fix_2", "fix_3"], _NEWTON_STEPS, 0.01)
+        + f"""
+        SELECT feature AS term, round(b, 5) AS value FROM slope_{_NEWTON_STEPS}
+        UNION ALL SELECT unnest(['total', 'fix_1', 'fix_2', 'fix_3', 'intercept']), round(unnest(g), 5) FROM shared_{_NEWTON_STEPS}""",
+    ),
+)
 def _(spark, d):
     out = M.logistic_effects(_scaled_design(spark, d), "feature", "x", "y", ["total", "fix_1", "fix_2", "fix_3"])
     return _round(out, 5, "value")
@@ -360,31 +426,43 @@ def _(spark, d):
 _BOUNDS = ["q5", "q10", "q25", "q50", "q75", "q90", "q95"]
 
 
+_PROBS = {"q5": 0.05, "q10": 0.1, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q90": 0.9, "q95": 0.95}
+
+
 @query(
     "effect_compare",
     sql_with(
-        "effects",
+        "counts_dense samples",
         """
-        WITH other AS (SELECT feature, genus, cohort, """
-        + ", ".join(f"{q} * 0.8 + 0.05 AS {q}" for q in _BOUNDS)
-        + """ FROM effects),
-        both_forms AS (SELECT 'Scaled' AS form, feature, genus, cohort, """
-        + ", ".join(_BOUNDS)
-        + """ FROM effects UNION ALL SELECT 'Log ratio', * FROM other)
-        SELECT form, feature, genus, cohort, """
+        WITH cells AS (
+            SELECT c.sample, feature, cohort, exposed::DOUBLE AS y,
+                   (n - avg(n) OVER ()) / stddev_samp(n) OVER () AS scaled, ln(n) - avg(ln(n)) OVER (PARTITION BY c.sample) AS clr
+            FROM counts_dense c JOIN samples s ON s.sample = c.sample WHERE n > 0),
+        grouped AS (
+            SELECT feature, coalesce(cohort, 'Pooled') AS cohort, avg(y) AS p, count(*) AS k,
+                   covar_pop(scaled, y) AS c1, var_pop(scaled) AS v1, covar_pop(clr, y) AS c2, var_pop(clr) AS v2
+            FROM cells GROUP BY GROUPING SETS ((feature, cohort), (feature))),
+        fits AS (
+            SELECT 'Scaled' AS form, feature, cohort, c1 / (p * (1 - p) * v1) AS b, 1 / sqrt(k * p * (1 - p) * v1) AS se FROM grouped WHERE p * (1 - p) * v1 > 0
+            UNION ALL
+            SELECT 'CLR Transformed', feature, cohort, c2 / (p * (1 - p) * v2), 1 / sqrt(k * p * (1 - p) * v2) FROM grouped WHERE p * (1 - p) * v2 > 0),
+        effects AS (SELECT form, feature, cohort, """
+        + ", ".join(f"b + se * {NormalDist().inv_cdf(p)!r}::DOUBLE AS {q}" for q, p in _PROBS.items())
+        + """ FROM fits)
+        SELECT form, feature, cohort, """
         + ", ".join(f"round(exp({q}), 6) AS {q}" for q in _BOUNDS)
         + """,
                CASE WHEN q5 > 0 OR q95 < 0 THEN '< 0.05' WHEN q10 > 0 OR q90 < 0 THEN '< 0.1'
                     WHEN q25 > 0 OR q75 < 0 THEN '< 0.25' ELSE '>= 0.25' END AS certainty
-        FROM both_forms WHERE genus <> 'error'
-          AND feature IN (SELECT feature FROM both_forms GROUP BY feature HAVING bool_or(q10 > 0 OR q90 < 0))""",
+        FROM effects WHERE feature NOT IN ('Brand#1', 'Brand#2', 'Brand#3')
+          AND feature IN (SELECT feature FROM effects GROUP BY feature HAVING bool_or(q10 > 0 OR q90 < 0))""",
     ),
 )
 def _(spark, d):
-    effects = V.effects(spark, d).select("feature", "genus", "cohort", *_BOUNDS)
-    other = effects.select("feature", "genus", "cohort", *[(F.col(q) * 0.8 + 0.05).alias(q) for q in _BOUNDS])
-    included = effects.where(F.col("genus") != "error").select("feature")
-    out = effect_compare({"Scaled": effects, "Log ratio": other}, "form", "feature", included, _BOUNDS)
+    outcomes = V.samples(spark, d).select("sample", "cohort", F.col("exposed").cast("double").alias("y"))
+    tables = transform_effects(V.counts_dense(spark, d), outcomes, "sample", "feature", "n", "cohort", "y", _PROBS)
+    included = V.counts_dense(spark, d).where(~F.col("feature").isin(*V.FIXED_FEATURES)).select("feature").distinct()
+    out = effect_compare(tables, "form", "feature", included, _BOUNDS)
     return _round(out, 6, *_BOUNDS)
 
 

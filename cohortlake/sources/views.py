@@ -244,11 +244,10 @@ def coefs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hs_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long table of scale-mixture draws: one row per (chain, iter, kind, feature)."""
-    kinds = {"click": "beta", "view": "lambda", "purchase": "tau", "signup": "c2"}
+    kinds = {"click": "beta", "view": "lambda", "purchase": "tau", "signup": "c2", "error": "c2"}
     kind = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
     return (
         table(spark, sf_dir, "events")
-        .where(F.col("event_type") != "error")
         .groupBy(
             (F.col("event_id") % 4).cast("int").alias("chain"),
             F.floor(F.col("event_id") / 400).cast("long").alias("iter"),
@@ -357,7 +356,7 @@ VIEW_SQL = {
                      CASE event_type WHEN 'click' THEN 'beta' WHEN 'view' THEN 'lambda'
                                      WHEN 'purchase' THEN 'tau' ELSE 'c2' END AS kind,
                      avg(ln(value)) AS level
-              FROM events WHERE event_type <> 'error' GROUP BY ALL)""",
+              FROM events GROUP BY ALL)""",
 }
 
 _NEEDS = {"effects": ["effect_draws"], "design": ["counts_dense", "samples"]}

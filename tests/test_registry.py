@@ -16,7 +16,7 @@ from cohortlake import registry  # noqa: E402
 from check import TABLES, rows_of  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
-WITHOUT_SQL = {"pcoa", "ordination_table", "logistic_effects"}
+WITHOUT_SQL = set()
 CHOSEN = [
     "scan_typed_csv",
     "tree_edges",
@@ -40,6 +40,11 @@ CHOSEN = [
     "hpdi",
     "diag_energy",
     "effect_counts",
+    "effect_compare",
+    "effective_size",
+    "log_likelihood_normal",
+    "logistic_effects",
+    "pcoa",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables not here")
