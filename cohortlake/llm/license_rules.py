@@ -16,6 +16,7 @@ are read whole; other columns are not read.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -92,6 +93,10 @@ WORDINGS = [
     ("(?:the )?(?:{name}) licen[cs]e", 0.8),
     ("licen[cs]e (?:{name})", 0.8),
 ]
+# A name that says it is a licence needs no wording around it: the title of a licence file.
+TITLE = re.compile("licen|do what the fuck")
+# Identifiers that are more than one common word stand alone, too.
+PLAIN_IDENTIFIER = re.compile("[0-9]|ms pl|ms rl|odbl")
 GNU = [("gpl", "(?:gnu )?general public licen[cs]e|gnu gpl|gpl"), ("lgpl", "(?:gnu )?(?:lesser|library) general public licen[cs]e|lgpl"), ("agpl", "(?:gnu )?affero general public licen[cs]e|agpl"), ("fdl", "gnu free documentation licen[cs]e|gfdl")]
 GNU_VERSIONS = {"gpl": "1 2 3", "lgpl": "2 2.1 3", "agpl": "1 3", "fdl": "1.1 1.2 1.3"}
 CC_PARTS = ["by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd"]
@@ -99,6 +104,22 @@ CC_WORDS = {"by": "attribution", "sa": "share ?alike", "nd": "no ?deriv(?:ative)
 CC_VERSIONS = ["1.0", "2.0", "2.5", "3.0", "4.0"]
 # Notices without a family. (label, keyword, pattern, score)
 NOTICES = [
+    ("bsd-3", "endorse or promote", "may be used to endorse or promote products derived from this software without specific prior written permission", 0.9),
+    ("bsd-4", "all advertising materials", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment", 0.9),
+    ("mpl-2.0", "source code form", "this source code form is subject to the terms of the mozilla public license v 2 0", 1.0),
+    ("mpl-1.1", "contents of this file", "the contents of this file are subject to the mozilla public license version 1 1", 1.0),
+    ("epl-2.0", "accompanying materials", "this program and the accompanying materials are made available under the terms of the eclipse public license (?:v |version )?2 0", 1.0),
+    ("epl-1.0", "accompanying materials", "this program and the accompanying materials are made available under the terms of the eclipse public license (?:v |version )?1 0", 1.0),
+    ("apache-2", "may not use this file", "you may not use this file except in compliance with the license", 0.7),
+    ("gpl-2-or-later", "version 2 of the license", "gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", 1.0),
+    ("gpl-3-or-later", "version 3 of the license", "gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", 1.0),
+    ("lgpl-2.1-or-later", "version 2 1 of the license", "gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version", 1.0),
+    ("lgpl-3-or-later", "version 3 of the license", "gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version", 1.0),
+    ("agpl-3-or-later", "version 3 of the license", "gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version", 1.0),
+    ("zlib", "altered source versions", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software", 0.9),
+    ("boost-1.0", "boost software license", "distributed under the boost software license version 1 0", 1.0),
+    ("unlicense", "free and unencumbered", "this is free and unencumbered software released into the public domain", 1.0),
+    ("wtfpl", "do what the fuck", "you just do what the fuck you want to", 0.9),
     ("mit", "permission is hereby granted", "permission is hereby granted free of charge to any person obtaining a copy", 1.0),
     ("isc", "permission to use", "permission to use copy modify and or distribute this software for any purpose with or without fee", 1.0),
     ("bsd", "redistribution and use", "redistribution and use in source and binary forms with or without modification", 0.9),
@@ -125,21 +146,28 @@ def rules() -> list[Rule]:
         out.append(Rule(label, "spdx license identifier", f"spdx license identifier {spdx}", 1.0))
         for wording, score in WORDINGS:
             out.append(Rule(label, keyword, wording.replace("{name}", name), score))
+        # Alternatives of the name, not those inside its groups.
+        titles = "|".join(part for part in re.split(r"[|](?![^(]*[)])", name) if TITLE.search(part))
+        if titles:
+            out.append(Rule(label, keyword, f"(?:the )?(?:{titles})", 0.7))
+        if PLAIN_IDENTIFIER.search(spdx):
+            out.append(Rule(label, spdx, spdx, 0.7))
 
     for family, name in GNU:
         key = {"gpl": "general public", "lgpl": "general public", "agpl": "affero", "fdl": "documentation"}[family]
-        keys = (key, "fdl|gfdl" if family == "fdl" else family)
+        keys = f"{key}|" + ("fdl|gfdl" if family == "fdl" else family)
         for version in GNU_VERSIONS[family].split():
             number = words(version) + ("(?: 0)?" if "." not in version else "")
             label = f"{family}-{version}"
             full = f"(?:{name}) (?:version |v ?)?{number}"
             for suffix, tail in (("-or-later", " or (?:any )?later(?: version)?| or at your option any later version"), ("-only", " only")):
                 out.append(Rule(label + suffix, "spdx license identifier", f"spdx license identifier {family} {words(version)}(?: 0)?{suffix.replace('-', ' ')}", 1.0))
-                for keyword in keys:
-                    out.append(Rule(label + suffix, keyword, f"(?:under (?:the )?)?(?:terms of (?:the )?)?{full}(?:{tail})", 1.0))
-            for keyword in keys:
-                out.append(Rule(label, keyword, f"(?:licensed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?{full}", 1.0))
-                out.append(Rule(label, keyword, full, 0.8))
+                out.append(Rule(label + suffix, keys, f"(?:under (?:the )?)?(?:terms of (?:the )?)?{full}(?:{tail})", 1.0))
+            # A bare identifier, and one whose plus sign is no word.
+            out.append(Rule(label, "spdx license identifier", f"spdx license identifier {family} {words(version)}(?: 0)?", 1.0))
+            out.append(Rule(label, keys, f"(?:licensed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?{full}", 1.0))
+            out.append(Rule(label, keys, full, 0.8))
+            out.append(Rule(label, f"{family}v{version[0]}", f"(?:licensed under (?:the )?)?{family}v{words(version)}(?: 0)?", 0.8))
             out.append(Rule(label, "gnu org", f"gnu org licenses (?:old licenses )?{family} {words(version)}(?: 0)?", 0.9))
     for parts in CC_PARTS:
         long_name = " ?".join(CC_WORDS[p] for p in parts.split("-"))

@@ -208,6 +208,34 @@ def test_phrases_and_rules(spark):
         ("Licensed under CC BY-NC 4.0.", "cc-by-nc,cc-by-nc-4.0"),
         ("SPDX-License-Identifier: BSD-3-Clause", "bsd-3"),
         ("GNU Affero General Public License v3", "agpl-3"),
+        ("Mozilla Public License, v. 2.0", "mpl-2.0"),
+        ("Eclipse Public License - v 2.0", "epl-2.0"),
+        ("see the Boost Software License", "boost-1.0"),
+        ("BSD-3-Clause", "bsd-3"),
+        ("EPL-2.0", "epl-2.0"),
+        ("GPLv3", "gpl-3"),
+        ("SPDX-License-Identifier: GPL-2.0+", "gpl-2"),
+        (
+            "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+            "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+            "mpl-2.0",
+        ),
+        (
+            "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License "
+            "as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+            "gpl-2-or-later",
+        ),
+        (
+            'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+            "apache-2",
+        ),
+        ("Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt)", "boost-1.0"),
+        (
+            "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+            "derived from this software without specific prior written permission.",
+            "bsd-3",
+        ),
+        ("version 2 of the printer and 3 clauses of 2 0", ""),
         ("he was permitted to license songs with Apache drums", ""),
         ("plain words only", ""),
     ],
