@@ -350,13 +350,35 @@ def diagnostic_report(draws: DataFrame, sampler: DataFrame) -> DataFrame:
 
 def partition_divergent(draws: DataFrame, sampler: DataFrame) -> DataFrame:
     """Draws with the divergence flag of their iteration."""
-    return draws.join(sampler.select("chain", "iter", "divergent"), ["chain", "iter"])
+    return skew_join(draws, sampler.select("chain", "iter", "divergent").where("chain IS NOT NULL AND iter IS NOT NULL"), ["chain", "iter"])
+
+
+def extreme_partners(
+    pairs: DataFrame, targets: DataFrame, labels: DataFrame, value: str, n: int, order: Sequence[str] = (), digits: int = 6
+) -> DataFrame:
+    """The ``n`` lowest values between the targets and their partners, with the partner's genus and label.
+
+    ``pairs``: ``feature_x, feature_y, <value>`` and others, each pair once in any order; ``targets``: ``feature_x``;
+    ``labels``: ``feature, genus``, one row per feature. The label is the genus over the partner's id in brackets; a
+    partner without a genus keeps its id. Null values are left out; values tie after rounding, then ``order`` decides.
+    """
+    others = [c for c in pairs.columns if c not in ("feature_x", "feature_y", value)]
+    turned = pairs.select(*others, F.col("feature_y").alias("feature_x"), F.col("feature_x").alias("feature_y"), value)
+    wanted = targets.select("feature_x").where("feature_x IS NOT NULL").distinct()
+    rows = skew_join(pairs.unionByName(turned).where(F.col(value).isNotNull()), wanted, ["feature_x"], "left_semi")
+    rounded = rows.withColumn(value, F.round(value, digits) + 0.0)
+    keys = [F.col(c) for c in (value, *order, "feature_x", "feature_y")]
+    lowest = rounded.orderBy(*keys).limit(n)
+    named = skew_join(lowest, labels.select(F.col("feature").alias("feature_y"), "genus"), ["feature_y"], "left")
+    bracket = F.concat(F.lit("\n("), F.col("feature_y").cast("string"), F.lit(")"))
+    label = F.when(F.col("genus").isNull(), F.col("feature_y").cast("string")).otherwise(F.concat("genus", bracket))
+    return named.select(*others, "feature_x", "feature_y", value, F.col("genus").alias("genus_y"), label.alias("label_y"))
 
 
 def label_parameters(summary: DataFrame, index: DataFrame, labels: DataFrame, number: str, feature: str) -> DataFrame:
     """Summary rows with the feature behind the number in their parameter name."""
     numbered = summary.withColumn(number, first_number("parameter").cast("long"))
-    named = join_null_safe(numbered, index, [number], "left")
-    return join_null_safe(named, labels, [feature], "left").withColumn(
+    named = skew_join(numbered, index, [number], "left")
+    return skew_join(named, labels, [feature], "left").withColumn(
         "param_lab", F.concat("parameter", F.lit("\n"), F.col(feature).cast("string"))
     )

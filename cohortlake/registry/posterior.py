@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from cohortlake.functions.normal import normal_quantile_sql
 from cohortlake.operators import distances as D
 from cohortlake.operators import posterior as K
-from cohortlake.operators.frames import member_filter, presence_rows
+from cohortlake.operators.frames import presence_rows
 from cohortlake.operators.groups import first_distinct_index
 from cohortlake.operators.ranks import exact_quantiles
-from cohortlake.operators.summaries import top_n
 from cohortlake.plans.effects import hit_features
 from cohortlake.registry import query
 from cohortlake.sources import views as V
@@ -316,19 +315,20 @@ def _(spark, d):
         "WITH "
         + _CORRELATION
         + """,
-        both_ways AS (SELECT cohort, feature_x, feature_y, cor FROM cor UNION ALL SELECT cohort, feature_y, feature_x, cor FROM cor)
-        SELECT cohort, feature_x, feature_y, round(cor, 6) + 0.0 AS cor FROM both_ways
+        both_ways AS (SELECT cohort, feature_x, feature_y, cor FROM cor UNION ALL SELECT cohort, feature_y, feature_x, cor FROM cor),
+        named AS (SELECT p_brand AS feature, min(p_type) AS genus FROM part WHERE p_brand <> 'Brand#7' GROUP BY p_brand)
+        SELECT cohort, feature_x, feature_y, round(cor, 6) + 0.0 AS cor, genus AS genus_y,
+               coalesce(genus || chr(10) || '(' || feature_y || ')', feature_y) AS label_y
+        FROM both_ways LEFT JOIN named ON named.feature = feature_y
         WHERE feature_x IN ('Brand#1', 'Brand#2') AND cor IS NOT NULL
         ORDER BY round(cor, 6), cohort, feature_x, feature_y LIMIT 20""",
     ),
 )
 def _(spark, d):
-    pairs = _correlations(spark, d)
-    turned = pairs.select("cohort", F.col("feature_y").alias("feature_x"), F.col("feature_x").alias("feature_y"), "cor")
     targets = V.coefs(spark, d).where(F.col("term").isin("Brand#1", "Brand#2")).select(F.col("term").alias("feature_x"))
-    rows = member_filter(pairs.unionByName(turned), targets, ["feature_x"]).where(F.col("cor").isNotNull())
-    rounded = rows.select("cohort", "feature_x", "feature_y", (F.round("cor", 6) + 0.0).alias("cor"))
-    return top_n(rounded, [F.col("cor"), F.col("cohort"), F.col("feature_x"), F.col("feature_y")], 20)
+    # One brand has no genus, as some features have none.
+    named = V.table(spark, d, "part").where("p_brand <> 'Brand#7'").groupBy(F.col("p_brand").alias("feature")).agg(F.min("p_type").alias("genus"))
+    return K.extreme_partners(_correlations(spark, d), targets, named, "cor", 20, ["cohort"])
 
 
 @query(
