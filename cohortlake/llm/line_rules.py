@@ -17,13 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlake.llm.bitmaps import BITS, bitmap, may_hold
 from cohortlake.llm.words import SPACES, bind, count_words, fold_ascii, split_words, trim_spaces
 from cohortlake.operators.skew import join_null_safe, skew_join
 from cohortlake.session import materialize
 
 SYMBOLS = "#*$%&|<>"
 FEW_REPEATS = 32
-LOOKUP_LINES = 20_000
 
 
 def _without(text: Column, characters: str) -> Column:
@@ -169,30 +169,26 @@ def _lines(df: DataFrame, host: str, text: str, id_col: str) -> DataFrame:
     )
 
 
-def _looked_up(rows: DataFrame, frequent: DataFrame) -> DataFrame:
-    """``rows`` with ``dropped``; the lines of each host are sent to the texts, which stay where they are."""
-    per_host = frequent.groupBy("host").agg(
-        F.collect_list("line").alias("_often"), F.collect_list(F.struct("line", "first_id")).alias("_firsts")
-    )
-    met = join_null_safe(rows, F.broadcast(per_host), ["host"], "left")
-    hashes = F.transform(F.split("whole", "\n", -1), line_hash)
-    # A blank line is never frequent.
-    held = F.when(F.col("_often").isNotNull(), F.array_intersect(hashes, "_often"))
-    own = F.transform(F.filter("_firsts", lambda p: F.coalesce(p["first_id"] == F.col("id"), F.lit(False))), lambda p: p["line"])
-    left = bind(held, lambda h: F.when(F.size(h) > 0, F.array_except(h, own)))
-    return met.withColumn("dropped", bind(left, lambda x: F.when(F.size(x) > 0, x))).drop("_often", "_firsts")
-
-
-def _joined(rows: DataFrame, lines: DataFrame, frequent: DataFrame) -> DataFrame:
-    """The same by joining the lines with the frequent ones, and the texts with what was found."""
-    found = skew_join(lines, frequent, ["host", "line"], rows="rows")
+def _without_frequent(rows: DataFrame, lines: DataFrame, frequent: DataFrame, bits: int) -> DataFrame:
+    """``rows`` with ``dropped``, the hashes of their removed lines, null for none.
+
+    Two bitmaps of fixed size come before the joins: one keeps nearly all lines out that are not frequent, one the
+    texts that lose no line. Those stay where they are; the others are shuffled once, by one plan at any size.
+    """
+    line = F.xxhash64("host", "line")
+    possible = lines.where(may_hold(bitmap(frequent.select(line), bits), line, bits))
+    found = skew_join(possible, frequent, ["host", "line"], rows="rows")
     # A document's removed lines are bounded by its text; repeated rows share one row here.
-    removed = (
+    removed = materialize(
         found.where(~F.coalesce(F.col("id") == F.col("first_id"), F.lit(False)))
         .groupBy("id", "host", "content")
-        .agg(F.collect_set("line").alias("dropped"))
+        .agg(F.collect_set("line").alias("dropped")),
+        "removed",
     )
-    return join_null_safe(rows, materialize(removed, "removed"), ["id", "host", "content"], "left")
+    text = F.xxhash64("id", "content")
+    loses = may_hold(bitmap(removed.select(text), bits), text, bits)
+    moved = join_null_safe(rows.where(loses).hint("merge"), removed, ["id", "host", "content"], "left")
+    return moved.unionByName(rows.where(~loses).withColumn("dropped", F.lit(None).cast("array<long>")))
 
 
 def _verdicts(
@@ -207,7 +203,7 @@ def _verdicts(
     least_documents: int = 20,
     fewest_documents: int = 5,
     depleted_percent: int = 50,
-    lookup_lines: int = LOOKUP_LINES,
+    bits: int = BITS,
 ) -> DataFrame:
     """What ``judge`` says of each row, and ``carried``: a struct of these columns of the table."""
     often = frequent_lines(df, host, text, id_col, line_percent, least_documents, fewest_documents)
@@ -220,10 +216,7 @@ def _verdicts(
         F.struct(F.lit(0).alias("_none"), *carried).alias("carried"),
         *[c.alias(name) for name, c in base_counts(F.col(text)).items()],
     ).select("*", "numbers.*")
-    if frequent.limit(lookup_lines + 1).count() <= lookup_lines:
-        dropped = _looked_up(rows, frequent)
-    else:
-        dropped = _joined(rows, _lines(df, host, text, id_col), frequent)
+    dropped = _without_frequent(rows, _lines(df, host, text, id_col), frequent, bits)
     joined = dropped.withColumn("clean_text", without_lines(F.col("whole"), F.col("dropped")))
     gone = F.when(F.col("dropped").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_words") - count_words(F.col("clean_text")))
     failed = (F.col("n_words") < least_words) | (

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlake.llm.bitmaps import bitmap, may_hold
 from cohortlake.llm.components import connected_components
 from cohortlake.llm.words import free_name, in_chunks, mix, shingle_sets
 from cohortlake.session import materialize
@@ -31,7 +32,6 @@ from cohortlake.session import materialize
 PERMUTATIONS = 60
 MISSED = 1e-6
 MEMBERS_PER_TASK_GROUP = 256
-WANTED_IDS = 1_000_000
 BLOCK = 1 << 18
 
 
@@ -187,9 +187,9 @@ def near_duplicates(
         placed.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs"
     )
     wanted = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
-    if wanted.limit(WANTED_IDS + 1).count() <= WANTED_IDS:
-        wanted = F.broadcast(wanted)  # else the texts are shuffled
-    whole = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+    # A bitmap of fixed size keeps nearly all other texts where they are; the join and the grouping share one shuffle by id.
+    candidate = may_hold(bitmap(wanted.select(F.xxhash64("id"))), F.xxhash64("id"))
+    whole = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).where(candidate).hint("merge")
     # Rows that repeat an id repeat its text; the smallest stands for them.
     texts = materialize(whole.join(wanted, "id").groupBy("id").agg(F.min("text").alias("text")), "texts")
     tested = materialize(confirm(pairs, texts, width), "tested")

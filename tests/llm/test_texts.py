@@ -145,8 +145,8 @@ def test_frequent_lines_are_removed_and_depleted_documents_rejected(spark):
     assert line_rules.judge(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("lookup_lines", [0, 20_000])
-def test_texts_lose_their_frequent_lines(spark, lookup_lines):
+@pytest.mark.parametrize("bits", [6, 22])
+def test_texts_lose_their_frequent_lines(spark, bits):
     own = own_line
     menu = " ".join(f"menu{k}" for k in range(25))
     rows = [(i, f"{own(i)} a\n\n {menu.upper()}\t\n{own(100 + i)} b", "h", i) for i in range(30)]
@@ -154,9 +154,9 @@ def test_texts_lose_their_frequent_lines(spark, lookup_lines):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, row long").withColumn("clean_text", F.lit("x"))
     bare = {row: f"{own(k)} a\n\n{own(100 + k)} b" for row, k in [*((i, i) for i in range(1, 30)), (52, 6)]}
     want = {row: bare.get(row, text) for _, text, _, row in rows}
-    kept = line_rules.keep_good(df, lookup_lines=lookup_lines)
+    kept = line_rules.keep_good(df, bits=bits)
     assert kept.columns == df.columns and {r.row: r.text for r in kept.collect()} == want
-    judged = line_rules.judge(df.where("row < 30"), lookup_lines=lookup_lines).collect()
+    judged = line_rules.judge(df.where("row < 30"), bits=bits).collect()
     assert {r.id: (r.clean_text, r.removed_words) for r in judged} == {i: (want[i], 25 if i else 0) for i in range(30)}
 
 
