@@ -1,77 +1,98 @@
-"""Quality classifier: an interpolated modified Kneser-Ney model of characters.
-
-Trained on trusted text. Counts of 1- to 4-grams, continuation counts, counts of counts and
-context totals are sharded by n-gram; joining the shards gives every seen n-gram its
-interpolated probability and every context its back-off weight. A document's perplexity is
-compared with a quantile, for its language, of the perplexities of trusted documents that
-the model has not seen.
-
-An n-gram of four UTF-16 units is one 64-bit number, so a table of n-grams is a table of longs;
-code points beyond 16 bits count as one character. Scoring looks n-grams up in the model: it
-is sent to every executor when its counted rows are at most ``MODEL_ROWS``; beyond that the
-n-grams of the documents are joined with the shards.
-
-Rows: null and empty texts have no characters, a null perplexity, and are rejected. A language
-without trusted documents (null is a language) takes the threshold of all languages. Rows
-with equal ids and texts get equal results.
+"""Quality classifier: an interpolated modified Kneser-Ney model of words.
+
+Trained on trusted text. Words are as in ``words.word_hashes`` (split at white space, A-Z folded), 64-bit hashes;
+a text is two start marks, its words, one end mark. Counts of 3-grams, continuation counts of 2- and 1-grams,
+counts of counts and context totals are sharded by n-gram. A document's perplexity is compared with a quantile,
+for its language, of the perplexities of trusted documents that the model has not seen.
+
+Back-off sums are kept as one additive weight per n-gram. With ``p`` the interpolated probability of a seen
+n-gram, ``p'`` that of the n-gram without its first word, and ``b`` the back-off factor of its context, the weight
+is ``ln p - ln b - ln p'``, plus ``ln b`` of the n-gram as a context itself. An n-gram's parts are seen when it is, so the sum of the weights
+of all n-grams of a text is its log probability, and one join of the documents' distinct n-grams
+with the shards, counted per document, scores everything. The ``FREQUENT`` n-grams with the largest counts, a
+table of fixed size, are added up where the document is; the rest travel to their shards.
+
+Rows: null and empty texts and texts without words have a null perplexity and are rejected. A language without
+held-out trusted documents (null is a language) takes the threshold of all languages; without any, all texts with
+words are kept. Equal texts get equal results, whatever their ids; a repeated row is repeated. Of ties at the
+quantile all are kept. Other columns of the table are not read, so their names cannot clash. An empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlake.llm.words import in_chunks
+from cohortlake.llm.words import count_words, in_chunks, mix, word_hashes
 from cohortlake.operators.ranks import exact_quantiles
-from cohortlake.operators.skew import join_null_safe
-from cohortlake.session import materialize
-
-ORDER = 4
-MODEL_ROWS = 3_000_000
-TRUSTED_IDS = 2_000_000
-START = 2
-BEYOND = 0xFFFF
-
-
-def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The 4-gram that ends at each character (starts padded), flat, and characters per text."""
-    pad = chr(START) * (ORDER - 1)
-    points = np.frombuffer("".join(pad + t for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    units = np.minimum(points, BEYOND).astype(np.uint64)
-    gram = units.copy()
-    for k in range(1, ORDER):
-        gram[k:] |= units[:-k] << np.uint64(16 * k)
-    lengths = np.array([len(t) for t in texts], np.int64)
-    keep = np.ones(len(units), bool)
-    begin = np.cumsum(lengths + ORDER - 1) - (lengths + ORDER - 1)
-    for k in range(ORDER - 1):
-        keep[begin + k] = False
-    return gram[keep], lengths
+from cohortlake.operators.skew import BROADCAST_BYTES, join_null_safe, skew_join
+from cohortlake.session import materialize, sized
 
+ORDER = 3
+FREQUENT = 1 << 18
+CHUNK = 1 << 20
+START, END = mix(np.array([1, 2], np.uint64))
+STEP = np.uint64(0x9E3779B97F4A7C15)
 
-def count_grams(texts: DataFrame) -> DataFrame:
-    """``gram, n``: how often each 4-gram ends at a character of the ``text`` column."""
 
-    def count(batches):
-        for batch in batches:
-            strings = [t or "" for t in batch.column(0).to_pylist()]
-            for part in in_chunks(strings):
-                grams, n = np.unique(_grams(strings[part])[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(grams.astype(np.int64)), pa.array(n)], ["gram", "n"])
+class Model(NamedTuple):
+    """``weights``: ``gram, n, weight``; ``unknown``: log probability of a word that was never seen."""
+
+    weights: DataFrame
+    unknown: float
+
+
+def _sequences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Marked word sequences of all texts with words, flat, and the text each position belongs to."""
+    hashes, counts = word_hashes(texts)
+    lengths = np.where(counts > 0, counts + ORDER, 0)
+    ends = np.cumsum(lengths)
+    sequence = np.full(int(lengths.sum()), START, np.uint64)
+    inner = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
+    sequence[np.repeat(ends - lengths, counts) + ORDER - 1 + inner] = hashes
+    sequence[ends[counts > 0] - 1] = END
+    return sequence, np.repeat(np.arange(len(texts)), lengths)
+
 
-    return texts.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+def _pairs(sequence: np.ndarray) -> np.ndarray:
+    return mix(sequence[:-1] * STEP + sequence[1:])
 
 
-def _suffix(order: int) -> Column:
-    """The n-gram without its first character."""
-    return F.col("gram").bitwiseAND(F.lit((1 << 16 * (order - 1)) - 1))
+def _triples(context: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Name of a 3-gram: that of its first pair, and that of its second turned by one bit. See ``_triple``."""
+    return context ^ ((own << np.uint64(1)) | (own >> np.uint64(63)))
 
 
-def _context() -> Column:
-    """The n-gram without its last character."""
-    return F.shiftrightunsigned("gram", 16)
+def _triple() -> Column:
+    turned = F.shiftleft("own", 1).bitwiseOR(F.shiftrightunsigned("own", 63))
+    return F.col("context").bitwiseXOR(turned)
+
+
+def count_grams(texts: DataFrame) -> DataFrame:
+    """``context, own, middle, last, n``: 3-grams of the ``text`` column, named by their two pairs, with their counts."""
+
+    def count(batches):
+        for batch in batches:
+            strings = [(t or "").encode() for t in batch.column(0).to_pylist()]
+            for part in in_chunks(strings, CHUNK):
+                sequence, owner = _sequences(strings[part])
+                if not len(sequence):
+                    continue
+                pairs = _pairs(sequence)
+                at = np.flatnonzero(owner[:-2] == owner[2:])
+                _, first, n = np.unique(_triples(pairs[at], pairs[at + 1]), return_index=True, return_counts=True)
+                at = at[first]
+                columns = [pairs[at], pairs[at + 1], sequence[at + 1], sequence[at + 2]]
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(c.view(np.int64)) for c in columns), pa.array(n)], ["context", "own", "middle", "last", "n"]
+                )
+
+    rows = texts.select("text").mapInArrow(count, "context long, own long, middle long, last long, n long")
+    return rows.groupBy("context", "own").agg(F.min("middle").alias("middle"), F.min("last").alias("last"), F.sum("n").alias("n"))
 
 
 def _discounts(table: DataFrame) -> list[float]:
@@ -86,153 +107,127 @@ def _discounts(table: DataFrame) -> list[float]:
     return [min(max(d, 0.05), k - 0.05) for k, d in enumerate(raw, 1)]
 
 
-def train(texts: DataFrame) -> DataFrame:
-    """``kind, gram, value``: kinds 1 to 4 are log probabilities of seen n-grams of that order, kinds
-    11 to 13 log back-off weights of contexts of 1 to 3 characters, kind 0 the unknown character."""
-    highest = materialize(count_grams(texts), "grams")
-    tables = {ORDER: highest}
-    for order in range(ORDER - 1, 0, -1):
-        # Continuation counts: how many different characters precede the n-gram.
-        above = tables[order + 1].select(_suffix(order + 1).alias("gram"))
-        tables[order] = materialize(above.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "grams")
-    alphabet = tables[1].count() + 1
-    model, lower = None, None
-    for order in range(1, ORDER + 1):
-        d = _discounts(tables[order])
-        cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        counted = tables[order].withColumn("context", F.lit(0).cast("long") if order == 1 else _context())
-        contexts = materialize(
-            counted.groupBy("context").agg(F.sum("n").alias("total"), F.sum(cut).alias("held")), "contexts"
-        )
-        joined = counted.join(contexts, "context")
-        own, spare = (F.col("n") - cut) / F.col("total"), F.col("held") / F.col("total")
-        if order == 1:
-            p = own + spare / alphabet
-            unknown = contexts.select(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("gram"), F.ln(spare / alphabet).alias("value"))
-            probabilities = joined.select("gram", p.alias("p"))
-        else:
-            below = lower.select(F.col("gram").alias("shorter"), F.col("p").alias("below"))
-            probabilities = joined.join(below, _suffix(order) == F.col("shorter")).select(
-                "gram", (own + spare * F.col("below")).alias("p")
-            )
-            unknown = contexts.select(
-                F.lit(10 + order - 1).alias("kind"), F.col("context").alias("gram"), F.ln(spare).alias("value")
-            )
-        lower = materialize(probabilities, "probabilities")
-        rows = lower.select(F.lit(order).alias("kind"), "gram", F.ln("p").alias("value")).unionByName(unknown)
-        model = rows if model is None else model.unionByName(rows)
-    return materialize(model, "model")
-
-
-class _Lookup:
-    """The model as sorted arrays."""
-
-    def __init__(self, columns: dict[int, tuple[np.ndarray, np.ndarray]]):
-        self.columns = columns
-
-    def find(self, kind: int, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys, values = self.columns.get(kind, (np.zeros(0, np.uint64), np.zeros(0)))
-        if not len(keys):
-            return np.zeros(len(grams)), np.zeros(len(grams), bool)
-        at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
-        return values[at], keys[at] == grams
-
-    def log_probability(self, grams: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(grams))
-        left = np.arange(len(grams))
-        for order in range(ORDER, 0, -1):
-            mask = np.uint64((1 << 16 * order) - 1)
-            value, seen = self.find(order, grams[left] & mask)
-            total[left[seen]] += value[seen]
-            left = left[~seen]
-            if not len(left):
-                return total
-            if order > 1:
-                weight, known = self.find(10 + order - 1, (grams[left] & mask) >> np.uint64(16))
-                total[left] += np.where(known, weight, 0.0)
-        total[left] += self.find(0, np.zeros(1, np.uint64))[0][0] if 0 in self.columns else -np.log(1 << 16)
-        return total
-
-
-def perplexities(df: DataFrame, model: DataFrame, key: str, text: str, model_rows: int = MODEL_ROWS) -> DataFrame:
-    """The table's ``key`` with ``n_chars`` and ``perplexity``; one row per row."""
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    if model.limit(model_rows + 1).count() > model_rows:
-        return _by_join(rows, model)
-    table = model.toArrow()
-    kinds = table.column("kind").to_numpy()
-    grams = table.column("gram").to_numpy().astype(np.uint64)
-    values = table.column("value").to_numpy()
-    columns = {}
-    for kind in np.unique(kinds).tolist():
-        of = np.flatnonzero(kinds == kind)
-        of = of[np.argsort(grams[of])]
-        columns[kind] = (grams[of], values[of])
-    shared = df.sparkSession.sparkContext.broadcast(columns)
-
-    def score(batches):
-        lookup = _Lookup(shared.value)
-        for batch in batches:
-            strings = [t or "" for t in batch.column(1).to_pylist()]
-            counts, sums = [], []
-            for part in in_chunks(strings, 1 << 20):
-                grams, lengths = _grams(strings[part])
-                ends = np.r_[0, np.cumsum(lookup.log_probability(grams))]
-                to = np.cumsum(lengths)
-                counts.append(lengths)
-                sums.append(ends[to] - ends[to - lengths])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.concatenate([*counts, []]).astype(np.int64)), pa.array(np.concatenate([*sums, []]))],
-                ["key", "n_chars", "score"],
-            )
+def _cut(table: DataFrame) -> Column:
+    d = _discounts(table)
+    return F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
 
-    scored = rows.mapInArrow(score, f"key {rows.schema['key'].dataType.simpleString()}, n_chars long, score double")
-    return scored.select("key", "n_chars", _perplexity().alias("perplexity"))
 
+def _interpolated(table: DataFrame, context: str, below: DataFrame, own: str) -> tuple[DataFrame, DataFrame]:
+    """The table with ``p`` and ``step`` (its own additive weight), and ``context, backoff`` of its contexts.
 
-def _perplexity() -> Column:
-    return F.when(F.col("n_chars") > 0, F.exp(-F.col("score") / F.col("n_chars")))
+    ``below``: the column ``own`` with the probability ``below`` of the n-gram without its first word.
+    """
+    cut = _cut(table)
+    contexts = materialize(
+        table.groupBy(context).agg(F.sum("n").alias("total"), F.sum(cut).alias("held"), F.count(F.lit(1)).alias("rows")), "contexts"
+    )
+    joined = skew_join(skew_join(table, contexts, [context], rows="rows"), below, [own])
+    share = F.col("held") / F.col("total")
+    p = (F.col("n") - cut) / F.col("total") + share * F.col("below")
+    seen = joined.withColumn("p", p).withColumn("step", F.ln("p") - F.ln(share) - F.ln("below"))
+    seen = materialize(seen.drop("total", "held", "below"), "probabilities")
+    return seen, contexts.select(F.col(context).alias("gram"), "total", F.ln(share).alias("backoff"))
+
+
+def train(texts: DataFrame) -> Model:
+    """The model of the ``text`` column."""
+    triples = materialize(count_grams(texts), "triples")
+    # Continuation counts: how many different words precede the n-gram.
+    pairs = triples.groupBy("own").agg(F.min("middle").alias("middle"), F.min("last").alias("last"), F.count(F.lit(1)).alias("n"))
+    pairs = materialize(pairs, "pairs")
+    words = materialize(pairs.groupBy("last").agg(F.count(F.lit(1)).alias("n")), "vocabulary")
+    cut = _cut(words)
+    shape = words.agg(F.sum("n").alias("total"), F.sum(cut).alias("held"), F.count(F.lit(1)).alias("size")).first()
+    total, spare = shape["total"] or 1, (shape["held"] or 1.0) / (shape["total"] or 1) / (shape["size"] + 1)
+    unknown = float(np.log(spare))
+    words = words.withColumn("p", (F.col("n") - cut) / total + spare)
+    seen_pairs, after_words = _interpolated(pairs, "middle", words.select("last", F.col("p").alias("below")), "last")
+    seen_triples, after_pairs = _interpolated(triples, "context", seen_pairs.select("own", F.col("p").alias("below")), "own")
+    parts = [
+        words.select(F.col("last").alias("gram"), "n", (F.ln("p") - unknown).alias("w")),
+        seen_pairs.select(F.col("own").alias("gram"), "n", F.col("step").alias("w")),
+        seen_triples.select(_triple().alias("gram"), "n", F.col("step").alias("w")),
+        after_words.select("gram", F.col("total").alias("n"), F.col("backoff").alias("w")),
+        after_pairs.select("gram", F.col("total").alias("n"), F.col("backoff").alias("w")),
+    ]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    weights = rows.groupBy("gram").agg(F.max("n").alias("n"), F.sum("w").alias("weight"))
+    return Model(materialize(weights, "weights"), unknown)
 
 
-def _by_join(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """The same with the n-grams of each row joined to the model's shards, order by order."""
-    numbered = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
+def _document_grams(frequent, unknown: float):
+    """Rows ``h1, h2, gram, n, score, events``: one per text and n-gram to look up, and one per text with what it has already."""
 
-    def grams_of(batches):
+    def run(batches):
+        grams, values = frequent.value
         for batch in batches:
-            ids, strings = batch.column(0).to_numpy(), [t or "" for t in batch.column(1).to_pylist()]
-            for part in in_chunks(strings, 1 << 20):
-                grams, lengths = _grams(strings[part])
-                owner = np.repeat(ids[part], lengths)
-                order = np.lexsort((grams, owner))
-                grams, owner = grams[order], owner[order]
-                fresh = np.flatnonzero(np.r_[True, (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])][: len(grams)])
-                n = np.diff(np.r_[fresh, len(grams)])
+            keys = [batch.column(i).to_numpy() for i in (0, 1)]
+            strings = [(t or "").encode() for t in batch.column(2).to_pylist()]
+            for part in in_chunks(strings, CHUNK):
+                sequence, owner = _sequences(strings[part])
+                if not len(sequence):
+                    continue
+                pairs = _pairs(sequence)
+                two, three = np.flatnonzero(owner[:-1] == owner[1:]), np.flatnonzero(owner[:-2] == owner[2:])
+                one = np.flatnonzero(np.r_[False, owner[1:] == owner[:-1]])  # all but the first start mark
+                gram = np.concatenate([sequence[one], pairs[two], _triples(pairs[three], pairs[three + 1])])
+                text = np.concatenate([owner[one], owner[two], owner[three]])
+                order = np.lexsort((gram, text))
+                gram, text = gram[order], text[order]
+                fresh = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (text[1:] != text[:-1])])
+                n = np.diff(np.r_[fresh, len(gram)])
+                gram, text = gram[fresh], text[fresh]
+                if len(grams):
+                    at = np.minimum(np.searchsorted(grams, gram), len(grams) - 1)
+                    here = grams[at] == gram
+                else:
+                    at, here = np.zeros(len(gram), np.int64), np.zeros(len(gram), bool)
+                size = len(strings[part])
+                events = np.bincount(owner[three], minlength=size)
+                begun = np.bincount(text[here], n[here] * values[at[here]], size) if here.any() else np.zeros(size)
+                some = np.flatnonzero(events)
+                h1, h2 = (k[part] for k in keys)
+                gram, text, n = gram[~here], text[~here], n[~here]
+                zeros = np.zeros(len(gram))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(owner[fresh]), pa.array(grams[fresh].astype(np.int64)), pa.array(n)], ["row", "gram", "n"]
+                    [
+                        pa.array(np.r_[h1[text], h1[some]]),
+                        pa.array(np.r_[h2[text], h2[some]]),
+                        pa.array(np.r_[gram.view(np.int64), h1[some]]),
+                        pa.array(np.r_[n, np.zeros(len(some), np.int64)]),
+                        pa.array(np.r_[zeros, (begun + events * unknown)[some]]),
+                        pa.array(np.r_[zeros.astype(np.int64), events[some]]),
+                    ],
+                    ["h1", "h2", "gram", "n", "score", "events"],
                 )
 
-    left = numbered.select("row", "text").mapInArrow(grams_of, "row long, gram long, n long")
-    parts = []
-    for order in range(ORDER, 0, -1):
-        mask = -1 if order == ORDER else (1 << 16 * order) - 1
-        keyed = left.withColumn("look", F.col("gram").bitwiseAND(F.lit(mask)))
-        of_order = model.where(F.col("kind") == order).select(F.col("gram").alias("look"), "value")
-        met = materialize(keyed.join(of_order, "look", "left"), "met")
-        parts.append(met.where("value IS NOT NULL").select("row", (F.col("value") * F.col("n")).alias("s")))
-        left = met.where("value IS NULL").select("row", "gram", "n", F.shiftrightunsigned("look", 16).alias("context"))
-        if order > 1:
-            weights = model.where(F.col("kind") == 10 + order - 1).select(F.col("gram").alias("context"), "value")
-            backed = left.join(weights, "context").select("row", (F.col("value") * F.col("n")).alias("s"))
-            parts.append(backed)
-    unknown = model.where("kind = 0").agg(F.coalesce(F.max("value"), F.lit(float(-np.log(1 << 16))))).scalar()
-    parts.append(left.select("row", (unknown * F.col("n")).alias("s")))
-    scores = parts[0]
-    for part in parts[1:]:
-        scores = scores.unionByName(part)
-    sums = scores.groupBy("row").agg(F.sum("s").alias("score"))
-    sized = numbered.select("row", "key", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"))
-    return sized.join(sums, "row", "left").select("key", "n_chars", _perplexity().alias("perplexity"))
+    return run
+
+
+def perplexities(df: DataFrame, model: Model, text: str = "text", frequent: int = FREQUENT) -> DataFrame:
+    """``h1, h2, perplexity`` of each distinct text with words; ``h1``, ``h2``: ``text_name`` of the text.
+
+    Copies of a text add up their log probabilities and their places alike, so the quotient is that of one.
+    """
+    top = model.weights.orderBy(F.desc("n"), "gram").limit(frequent).select("gram", "weight").toArrow()
+    grams = top.column("gram").to_numpy().view(np.uint64)
+    order = np.argsort(grams)
+    shared = df.sparkSession.sparkContext.broadcast((grams[order], top.column("weight").to_numpy()[order]))
+    rows = df.select(*text_name(text), F.col(text).alias("text")).mapInArrow(
+        _document_grams(shared, model.unknown), "h1 long, h2 long, gram long, n long, score double, events long"
+    )
+    met = rows.join(model.weights.select("gram", "weight"), "gram", "left")
+    # A row with what a text has already has n = 0, whatever n-gram its name equals.
+    value = F.col("score") + F.col("n") * F.coalesce("weight", F.lit(0.0))
+    sums = met.groupBy("h1", "h2").agg(F.sum(value).alias("score"), F.sum("events").alias("events"))
+    return sums.select("h1", "h2", F.exp(-F.col("score") / F.col("events")).alias("perplexity"))
+
+
+def text_name(text: str) -> list[Column]:
+    """128 bits that stand for a text."""
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2")]
 
 
 def classify(
@@ -243,24 +238,25 @@ def classify(
     lang: str = "lang",
     quantile: float = 0.99,
     slack: float = 1.15,
-    model_rows: int = MODEL_ROWS,
 ) -> DataFrame:
-    """``id, lang, n_chars, perplexity, threshold, trusted, kept`` for each row.
+    """``id, lang, n_words, perplexity, threshold, trusted, kept`` for each row.
 
     ``trusted``: one column of ids. A fifth of them, by hash, is held out of training and sets the
     thresholds: the ``quantile`` of their perplexities in each language, times ``slack``.
     """
     ids = trusted.select(F.col(trusted.columns[0]).alias("trusted_id")).where("trusted_id IS NOT NULL").distinct()
-    ids = materialize(ids, "trusted")
-    if ids.limit(TRUSTED_IDS + 1).count() <= TRUSTED_IDS:
+    ids, _, size = sized(ids, "trusted")
+    if size <= BROADCAST_BYTES:
         ids = F.broadcast(ids)
     held = F.pmod(F.xxhash64("trusted_id"), F.lit(5)) == 0
     training = df.join(ids.where(~held), F.col(id_col) == F.col("trusted_id")).select(F.col(text).alias("text"))
     model = train(training)
-    marked = df.select(F.struct(F.col(id_col).alias("id"), F.col(lang).alias("lang")).alias("key"), F.col(text).alias("text"))
-    scored = materialize(perplexities(marked, model, "key", "text", model_rows).select("key.*", "n_chars", "perplexity"), "scored")
+    scores = materialize(perplexities(df, model, text), "scores")
+    rows = df.select(F.col(id_col).alias("id"), F.col(lang).alias("lang"), count_words(F.col(text)).alias("n_words"), *text_name(text))
+    scored = skew_join(materialize(rows, "named"), scores, ["h1", "h2"], "left").drop("h1", "h2")
     flagged = scored.join(ids.withColumn("held", held), F.col("id") == F.col("trusted_id"), "left")
     flagged = flagged.withColumn("trusted", F.col("trusted_id").isNotNull()).withColumn("held", F.coalesce("held", F.lit(False)))
+    flagged = materialize(flagged, "scored")
     heldout = flagged.where("held AND perplexity IS NOT NULL").select("lang", "perplexity")
     limits = exact_quantiles(heldout, ["lang"], "perplexity", {"own": quantile})
     everyone = exact_quantiles(heldout.select(F.lit(0).alias("g"), "perplexity"), ["g"], "perplexity", {"all": quantile})
@@ -269,6 +265,6 @@ def classify(
     joined = join_null_safe(flagged, limits, ["lang"], "left").withColumn("all", overall.scalar())
     threshold = F.coalesce("own", "all", F.lit(float("inf"))) * slack
     return joined.select(
-        "id", "lang", "n_chars", "perplexity", threshold.alias("threshold"), "trusted",
+        "id", "lang", "n_words", "perplexity", threshold.alias("threshold"), "trusted",
         F.coalesce(F.col("perplexity") <= threshold, F.lit(False)).alias("kept"),
     )

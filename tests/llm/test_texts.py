@@ -1,15 +1,16 @@
-"""Tokens, quality rules, licences and the character model against plain-Python versions."""
+"""Tokens, quality rules, licences and the language model against plain-Python versions."""
 
 import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
-from cases import LONG, documents, line_counts, phrase_counts
+from cases import LONG, documents, fold, line_counts, phrase_counts, words
 from pyspark.sql import functions as F
 
 from cohortlake.llm import license_rules, line_rules, ngram_quality, piece_codec, queries, token_files
@@ -289,17 +290,14 @@ def test_there_are_hundreds_of_rules():
 
 
 def brute_model(texts):
-    """Interpolated modified Kneser-Ney, order 4, from dictionaries."""
-    grams = {4: {}}
+    """Interpolated modified Kneser-Ney over words, order 3, from dictionaries."""
+    marked = lambda t: ["<", "<", *words(fold(t)), ">"] if words(t) else []
+    grams = {3: Counter()}
     for t in texts:
-        s = "\x02" * 3 + t
-        for i in range(3, len(s)):
-            g = s[i - 3 : i + 1]
-            grams[4][g] = grams[4].get(g, 0) + 1
-    for k in (3, 2, 1):
-        grams[k] = {}
-        for g in grams[k + 1]:
-            grams[k][g[1:]] = grams[k].get(g[1:], 0) + 1
+        s = marked(t)
+        grams[3].update(tuple(s[i - 2 : i + 1]) for i in range(2, len(s)))
+    for k in (2, 1):
+        grams[k] = Counter(g[1:] for g in grams[k + 1])
 
     def discounts(table):
         c = [sum(v == k for v in table.values()) for k in range(1, 5)]
@@ -310,11 +308,11 @@ def brute_model(texts):
         return [min(max(d, 0.05), k - 0.05) for k, d in enumerate(raw, 1)]
 
     d = {k: discounts(grams[k]) for k in grams}
-    totals, held = {}, {}
+    totals, held = Counter(), Counter()
     for k, table in grams.items():
         for g, n in table.items():
-            totals[k, g[:-1]] = totals.get((k, g[:-1]), 0) + n
-            held[k, g[:-1]] = held.get((k, g[:-1]), 0) + d[k][min(n, 3) - 1]
+            totals[k, g[:-1]] += n
+            held[k, g[:-1]] += d[k][min(n, 3) - 1]
 
     def p(g):
         k = len(g)
@@ -327,26 +325,43 @@ def brute_model(texts):
         return (n - d[k][min(n, 3) - 1] if n else 0) / totals[context] + held[context] / totals[context] * p(g[1:])
 
     def perplexity(t):
-        s = "\x02" * 3 + t
-        return math.exp(-sum(math.log(p(s[i - 3 : i + 1])) for i in range(3, len(s))) / len(t)) if t else None
+        s = marked(t)
+        return math.exp(-sum(math.log(p(tuple(s[i - 2 : i + 1]))) for i in range(2, len(s))) / (len(s) - 2)) if s else None
 
     return perplexity
 
 
-def test_perplexities_and_both_ways_of_looking_up(spark):
+@pytest.mark.parametrize("frequent", [0, 40, ngram_quality.FREQUENT])
+def test_perplexities_by_shards(spark, frequent):
     df = documents(spark).withColumn("text", F.substring("text", 1, 400))
     trusted = df.where("doc_id % 2 = 0 AND text IS NOT NULL")
     model = ngram_quality.train(trusted.select("text"))
     want = brute_model([r.text for r in trusted.collect()])
-    texts = {r.doc_id: r.text for r in df.collect()}
-    sent = ngram_quality.perplexities(df, model, "doc_id", "text").collect()
-    joined = ngram_quality.perplexities(df, model, "doc_id", "text", model_rows=0).collect()
-    assert len(sent) == len(joined) == df.count()
-    for rows in (sent, joined):
-        for r in rows:
-            expected = want(texts[r.key] or "")
-            assert (r.perplexity is None) == (expected is None)
-            assert expected is None or math.isclose(r.perplexity, expected, rel_tol=1e-9)
+    found = ngram_quality.perplexities(df, model, "text", frequent)
+    named = df.select("text", *ngram_quality.text_name("text")).distinct().join(found, ["h1", "h2"], "left").collect()
+    assert len(named) == df.select("text").distinct().count()
+    for r in named:
+        expected = want(r.text)
+        assert (r.perplexity is None) == (expected is None)
+        assert expected is None or math.isclose(r.perplexity, expected, rel_tol=1e-9)
+
+
+def test_shuffled_words_score_worse(spark):
+    """The order of words counts: known texts against their own words in another order."""
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet")
+    good = read("documents").join(read("labels").where("quality = 1 AND toxic = 0"), "doc_id").where("lang = 'en'")
+    texts = [r.text for r in good.orderBy("doc_id").collect() if len(words(r.text)) > 50]
+    model = ngram_quality.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    rng = random.Random(3)
+    pairs = [(i, t, " ".join(rng.sample(words(t), len(words(t))))) for i, t in enumerate(texts[:40])]
+    df = spark.createDataFrame(pairs, "i long, text string, mixed string")
+    by = {}
+    for column in ("text", "mixed"):
+        scored = ngram_quality.perplexities(df, model, column)
+        rows = df.select("i", *ngram_quality.text_name(column)).join(scored, ["h1", "h2"]).collect()
+        by[column] = {r.i: r.perplexity for r in rows}
+    assert len(by["text"]) == len(by["mixed"]) == len(pairs)
+    assert all(by["mixed"][i] > 3 * by["text"][i] for i in by["text"])
 
 
 def test_classifier_bounds(spark):
@@ -367,7 +382,7 @@ def test_classifier_tells_good_from_bad(spark):
     held = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
     seen = found.join(labels, "doc_id").where(held | (F.col("quality") == 0))
     rates = {r["quality"]: r["k"] for r in seen.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()}
-    assert rates[1] >= 0.95 and rates[0] <= 0.7, rates
+    assert rates[1] >= 0.95 and rates[0] <= 0.3, rates
 
 
 def test_digest_query(spark):
