@@ -66,11 +66,18 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def secret_scanner(spark: SparkSession, sf_dir: str) -> secret_scan.Scanner:
+    """A scanner from the generated findings, with the dictionary of the trusted documents."""
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    good = labels.where("quality = 1 AND toxic = 0").select("doc_id").distinct()
+    words = secret_scan.count_dictionary(documents.join(good, "doc_id", "left_semi"))
+    return secret_scan.train(secret_scan.example_findings(spark), words)
+
+
 @query
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate of every document with its probability; ``core`` as a digest."""
-    model = secret_scan.train(secret_scan.example_findings(spark))
-    found = secret_scan.scan(table(spark, sf_dir, "documents"), model)
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), secret_scanner(spark, sf_dir))
     return found.select(
         F.col("id").alias("doc_id"), "place", F.sha2("core", 256).alias("core_sha256"), "probability", "is_secret"
     )
