@@ -10,9 +10,13 @@ bounded memory. Candidates are found in single precision with a margin, then dec
 Equal vectors form one class with a weight. Tiles add up link counts and join their links into
 stars, so nothing grows with the square of a group but arithmetic.
 
-Rows: vectors that are null, empty, zero, or hold null or non-finite components link with nothing,
-and so do vectors of another length than the first valid ones'... each length joins for itself.
-Rows with a null id link with nothing. Repeated rows count as links of each other.
+The length of a vector is part of its cell's name, so vectors of all lengths go through one placement and one join
+of tiles. Only lengths with vectors for two tiles or more have pivots; the vectors of any other length are one cell.
+
+Rows: vectors that are null, empty, zero, or hold null or non-finite components link with nothing. Vectors of different
+lengths do not link. Rows with a null id link with nothing. Repeated rows count as links of each other; rows that share an
+id but not a vector each have their own links. A cosine equal to the bound is a link. An empty table gives an empty one. Other
+columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from cohortlake.session import materialize
 
 TILE = 4096
 MAX_PIVOTS = 512
+CELLS = 1 << 16
 BATCH = 1024
 MARGIN = 1e-4
 
@@ -53,29 +58,42 @@ def _pack(df: DataFrame, id_col: str, vector: str) -> DataFrame:
     return rows.mapInArrow(pack, "id long, unit binary")
 
 
-def _place(pivots: np.ndarray, radius: float):
-    """Each vector's cells: its own first, then those it visits (with a lower number only)."""
-    between = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 0))
+def _place(pivots: dict[int, np.ndarray], radius: float):
+    """Each vector's cells: its own first, then those it visits (with a lower number only).
+
+    ``pivots``: by the bytes of a vector; a length without pivots is one cell. A cell's name is those
+    bytes times ``CELLS`` plus its number.
+    """
+    between = {n: np.sqrt(np.maximum(2 - 2 * p @ p.T, 0)) for n, p in pivots.items()}
+
+    def cells_of(packed, length):
+        """Places in the list and cells: each vector's own, then its visits."""
+        if length not in pivots:
+            return np.arange(len(packed)), np.zeros(len(packed), np.int64)
+        x, known = _units(packed), pivots[length]
+        squared = np.maximum(2 - 2 * x @ known.T, 0)
+        own = squared.argmin(1)
+        reach = squared - squared[np.arange(len(x)), own][:, None] <= 2 * radius * between[length][own] + 1e-9
+        row, cell = np.nonzero(reach & (np.arange(len(known)) < own[:, None]))
+        return np.r_[np.arange(len(x)), row], np.r_[own, cell]
 
     def place(batches):
         for batch in batches:
             ids, packed = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-            for at in range(0, len(ids), BATCH):
-                x = _units(packed[at : at + BATCH])
-                squared = np.maximum(2 - 2 * x @ pivots.T, 0)
-                own = squared.argmin(1)
-                reach = squared - squared[np.arange(len(x)), own][:, None] <= 2 * radius * between[own] + 1e-9
-                visits = reach & (np.arange(len(pivots)) < own[:, None])
-                row, cell = np.nonzero(visits)
-                row, cell = np.r_[np.arange(len(x)), row], np.r_[own, cell]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids[at : at + BATCH][row], pa.int64()),
-                        pa.array(cell, pa.int32()),
-                        pa.array((np.arange(len(row)) >= len(x)).astype(np.int32)),
-                    ],
-                    ["id", "cell", "visits"],
-                )
+            lengths = np.array([len(p) for p in packed], np.int64)
+            for length in np.unique(lengths).tolist():
+                of = np.flatnonzero(lengths == length)
+                for at in range(0, len(of), BATCH):
+                    some = of[at : at + BATCH]
+                    row, cell = cells_of([packed[i] for i in some], length)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(ids[some[row]], pa.int64()),
+                            pa.array(length * CELLS + cell, pa.int64()),
+                            pa.array((np.arange(len(row)) >= len(some)).astype(np.int32)),
+                        ],
+                        ["id", "cell", "visits"],
+                    )
 
     return place
 
@@ -175,16 +193,7 @@ def cosine_links(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding
     rows = materialize(_pack(df, id_col, vector), "units")
     valid = rows.where("id IS NOT NULL AND unit IS NOT NULL")
     classes = materialize(valid.groupBy("unit").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight")), "classes")
-    stars = None
-    gained = None
-    shapes = [r[0] for r in classes.select(F.length("unit").alias("n")).distinct().limit(65).collect()]
-    if len(shapes) > 64:
-        raise ValueError("more than 64 different vector lengths")
-    for n in sorted(shapes):
-        found = _links_of_length(classes.where(F.length("unit") == n), cosine, radius)
-        stars = found if stars is None else stars.unionByName(found)
-    if stars is None:
-        stars = rows.sparkSession.createDataFrame([], "id long, gained long, star long")
+    stars = _class_links(classes, cosine, radius)
     stars = materialize(stars, "stars")
     gained = stars.groupBy("id").agg(F.sum("gained").alias("gained"))
     labels = connected_components(stars.where("id <> star").select("id", "star"))
@@ -201,16 +210,23 @@ def cosine_links(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding
     return joined.unionByName(alone).withColumn("kept", F.coalesce(F.col("id") == F.col("component"), F.lit(True)))
 
 
-def _links_of_length(classes: DataFrame, cosine: float, radius: float) -> DataFrame:
-    """Counts and star links of the classes, all of one vector length."""
-    total = classes.count()
-    wanted = max(1, min(MAX_PIVOTS, total // TILE))
-    chosen = classes.select("unit", F.xxhash64("unit").alias("h")).orderBy("h", "unit").limit(wanted).collect()
-    pivots = _units([bytes(r["unit"]) for r in chosen])
-    placed = materialize(classes.select("id", "unit").mapInArrow(_place(pivots, radius), "id long, cell int, visits int"), "cells")
+def _pivots(classes: DataFrame) -> dict[int, np.ndarray]:
+    """Pivots of each length with vectors for two tiles or more: those with the smallest hashes."""
+    lengths = classes.groupBy(F.length("unit").alias("n")).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= 2 * TILE)
+    out = {}
+    for shape in lengths.orderBy("n").toLocalIterator():
+        wanted = min(MAX_PIVOTS, shape["rows"] // TILE)
+        of = classes.where(F.length("unit") == shape["n"]).select("unit", F.xxhash64("unit").alias("h"))
+        out[shape["n"]] = _units([bytes(r["unit"]) for r in of.orderBy("h", "unit").limit(wanted).collect()])
+    return out
+
+
+def _class_links(classes: DataFrame, cosine: float, radius: float) -> DataFrame:
+    """Counts and star links of the classes."""
+    place = _place(_pivots(classes), radius)
+    placed = materialize(classes.select("id", "unit").mapInArrow(place, "id long, cell long, visits int"), "cells")
     sizes = placed.where("visits = 0").groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
-    cells = F.broadcast(materialize(sizes, "cell-sizes"))  # at most MAX_PIVOTS rows
-    spread = placed.join(cells, "cell").withColumn(
+    spread = placed.join(materialize(sizes, "cell-sizes"), "cell").withColumn(
         "own", F.when(F.col("visits") == 0, F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).otherwise(-1)
     )
     # Role 0: the tile's home; 1: the same vectors streaming past; 2: later tiles of the cell, and visitors.

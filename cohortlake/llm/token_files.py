@@ -9,8 +9,9 @@ Writing goes through Spark's text writer with the bytes of the end id as line se
 so it reaches any store Spark reaches. Reading uses the binary-file source, which holds one
 file in memory: keep files small (``documents_per_file``).
 
-Rows: an empty document counts 0 tokens; tokens after the last end id form a document with
-``closed`` false; an empty file has no rows.
+Rows: a null or empty document counts 0 tokens; tokens after the last end id form a document with
+``closed`` false; an empty file has no rows, an empty table no files with rows. Repeated rows are documents of their own. A
+document of any length counts in full, over as many blocks as it takes. Other columns are not written.
 """
 
 from __future__ import annotations
@@ -43,11 +44,11 @@ def read_blocks(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS
     """``file, block, data``: the files under ``path`` in fixed blocks."""
     files = spark.read.format("binaryFile").load(path).where("length > 0").select("path", "length", "content")
     step = id_bytes * block_tokens
-    return files.select(
-        F.col("path").alias("file"),
-        "content",
-        F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / step))).alias("block"),
-    ).select("file", F.col("block").cast("long"), F.expr(f"substring(content, CAST(block * {step} + 1 AS INT), {step})").alias("data"))
+    # All blocks of a file are cut in one pass over its content, which is not repeated beside each block.
+    cut = f"transform(sequence(0L, (length - 1) DIV {step}), b -> substring(content, CAST(b * {step} + 1 AS INT), {step}))"
+    return files.select(F.col("path").alias("file"), F.posexplode(F.expr(cut)).alias("block", "data")).select(
+        "file", F.col("block").cast("long").alias("block"), "data"
+    )
 
 
 def count_documents(blocks: DataFrame, end_id: int, id_bytes: int = 4) -> DataFrame:

@@ -326,3 +326,14 @@ def test_candidates_by_a_loop(spark):
         got.setdefault(r.id, []).append((r.place, r.core))
     for i, t in enumerate(texts):
         assert sorted(got.get(i, [])) == brute_candidates(t), t and t[:200]
+
+
+def test_vectors_of_many_lengths(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for n in range(1, 91):
+        base = rng.normal(size=n)
+        rows += [(3 * n, base.tolist()), (3 * n + 1, (2 * base).tolist()), (3 * n + 2, (-base).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = {r.id: (r.n_links, r.component) for r in metric_join.cosine_links(df).collect()}
+    assert out == {i: (0, i) if i % 3 == 2 else (1, i - i % 3) for i, _ in rows}
