@@ -14,7 +14,8 @@ the label. An empty table has no candidates and is returned by ``redact`` as it
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import zlib
+from collections.abc import Callable, Collection, Sequence
 from typing import NamedTuple
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -31,6 +32,7 @@ SHORT = 6
 CORE = f"[A-Za-z0-9+/_\\-]{{{LEAST},}}"
 TRAINING_ROWS = 12_000
 DICTIONARY_WORDS = 4_000
+SHELVES = 64
 MASK = "[SECRET]"
 FEATURES = [
     "length", "digits", "uppers", "lowers", "marks", "distinct", "turns", "vowels", "longest_letters", "part_length", "is_hex",
@@ -127,6 +129,15 @@ def candidates(df: DataFrame, id_col: str, text: str) -> DataFrame:
     return each.withColumn("before", F.expr("left(word, locate(core, word) - 1)"))
 
 
+def _lookup(words: Collection[str]) -> Callable[[Column], Column]:
+    """Whether a word is among these: on the shelf of its checksum, one string each, so a plan holds few literals."""
+    shelves = [" "] * SHELVES
+    for w in sorted(words):
+        shelves[zlib.crc32(w.encode()) % SHELVES] += w + " "
+    books = F.array(*[F.lit(s) for s in shelves])
+    return lambda x: F.get(books, (F.crc32(x.cast("binary")) % SHELVES).cast("int")).contains(F.concat(F.lit(" "), x, F.lit(" ")))
+
+
 def with_features(found: DataFrame, dictionary: Sequence[str] = ()) -> DataFrame:
     """Numbers the forest decides by; see ``FEATURES``."""
     core, n = F.col("core"), F.char_length("core").cast("double")
@@ -138,9 +149,9 @@ def with_features(found: DataFrame, dictionary: Sequence[str] = ()) -> DataFrame
     around = fold_ascii(F.concat_ws(" ", "previous", "before"))
     covered = 1 - F.char_length(F.regexp_replace(F.lower(core), "|".join(sorted(GROUPS, key=lambda w: (-len(w), w))), "")) / n
     parts = F.transform(F.regexp_extract_all(core, F.lit("[A-Z]?[a-z]+|[A-Z]+"), F.lit(0)), lambda x: F.lower(x))
-    known = sorted({*dictionary, *CODE_WORDS})
+    known = _lookup({*dictionary, *CODE_WORDS})
     letters = F.aggregate(
-        F.filter(parts, lambda x: x.isin(known)), F.lit(0), lambda total, x: total + F.char_length(x)
+        F.filter(parts, known), F.lit(0), lambda total, x: total + F.char_length(x)
     )
     values = {
         "length": F.least(n, F.lit(200.0)),
