@@ -262,10 +262,10 @@ def example_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFram
     base = base.select(
         "id", "h", alnum.alias("alnum"), size.alias("size"), F.pmod("id", F.lit(len(shapes))).alias("shape"), *[p.alias(f"p{k}") for k, p in enumerate(plain)]
     )
-    body, label = F.lit(None).cast("string"), F.lit(0)
-    for k, (good, shape) in enumerate(shapes):
-        body = F.when(F.col("shape") == k, shape).otherwise(body)
-        label = F.when(F.col("shape") == k, F.lit(good)).otherwise(label)
+    label = F.element_at(F.array(*[F.lit(good) for good, _ in shapes]), F.col("shape").cast("int") + 1)
+    body = F.when(F.col("shape") == 0, shapes[0][1])
+    for k, (_, shape) in enumerate(shapes[1:], 1):
+        body = body.when(F.col("shape") == k, shape)
     return base.select("id", F.concat_ws(" ", "p0", body, "p1").alias("text"), label.cast("double").alias("label"))
 
 
@@ -274,12 +274,16 @@ def train(labelled: DataFrame, dictionary: Sequence[str] = (), rows: int = TRAIN
 
     The longest candidate of a text carries its label, values of telling words before others.
     """
+    # Written in between: the forest reads its rows many times, and the plans of what made them are long.
+    labelled = materialize(labelled.select("id", "text", "label"), "labelled")
     texts = labelled.orderBy(F.xxhash64("id", "text")).limit(rows)
     found = candidates(texts, "id", "text")
     columns = ["place", "word", "previous", "following", "core", "before", "assigned"]
     widest = F.max_by(F.struct(*columns), F.struct("assigned", F.char_length("core"), "core", "place"))
     one = found.groupBy("id").agg(widest.alias("c")).select("id", "c.*").join(labelled.select("id", "label"), "id")
-    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(_numbers(one, dictionary))
+    one = materialize(one, "labelled-candidates")
+    numbers = materialize(_numbers(one, dictionary).select(*FEATURES, "label"), "findings")
+    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(numbers)
     forest = RandomForestClassifier(numTrees=40, maxDepth=8, seed=11, featureSubsetStrategy="onethird")
     return Scanner(forest.fit(vectors.select("features", "label")), tuple(dictionary))
 
