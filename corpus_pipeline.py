@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlake.llm import line_rules, minmax_dedup, mixing, piece_codec, secret_scan
-from cohortlake.llm.queries import secret_scanner, table, tokenizer_path
+from cohortlake.llm.queries import table, tokenizer_path
 from cohortlake.session import materialize, release, written
 
 # SQL has no near-duplicates with these bounds, forest or tokenizer.
@@ -34,8 +34,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts are masked; every document stays."""
-    return secret_scan.redact(docs, secret_scanner(spark, sf_dir))
+    """Secrets in the texts are masked; every document stays. The dictionary is that of the documents kept so far."""
+    scanner = secret_scan.train(secret_scan.example_findings(spark), secret_scan.count_dictionary(docs))
+    return secret_scan.redact(docs, scanner)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
