@@ -25,6 +25,7 @@ from cohortlake.llm import (
     token_files,
     vector_codes,
 )
+from cohortlake.llm.bitmaps import bitmap, may_hold
 from cohortlake.llm.checking_sql import DECONTAMINATION_SQL, PREFIX_TRIE_SQL, vector_codes_sql
 from cohortlake.session import fresh_path, materialize
 
@@ -66,11 +67,18 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def trusted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are labelled good and not toxic; a bitmap of fixed size keeps most other texts out of the join."""
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    good = materialize(labels.where("quality = 1 AND toxic = 0").select("doc_id").distinct(), "good")
+    name = F.xxhash64(F.col("doc_id").cast("long"))
+    possible = documents.where(may_hold(bitmap(good.select(name)), name))
+    return possible.hint("merge").join(good, "doc_id", "left_semi")
+
+
 def secret_scanner(spark: SparkSession, sf_dir: str) -> secret_scan.Scanner:
     """A scanner from the generated findings, with the dictionary of the trusted documents."""
-    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    good = labels.where("quality = 1 AND toxic = 0").select("doc_id").distinct()
-    words = secret_scan.count_dictionary(documents.join(good, "doc_id", "left_semi"))
+    words = secret_scan.count_dictionary(trusted_documents(spark, sf_dir).select("text"))
     return secret_scan.train(secret_scan.example_findings(spark), words)
 
 

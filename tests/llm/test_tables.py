@@ -295,6 +295,18 @@ def test_dictionary_counts_texts(spark):
     assert secret_scan.count_dictionary(df, size=3) == ("cat", "the", "dog")
 
 
+def test_trusted_documents_take_one_path_at_any_size(spark, tmp_path):
+    """Texts without a trusted label stay out of the shuffle, and small tables are not joined another way."""
+    rows = [(k, f"text {k}") for k in [*range(200), 7, 8]] + [(None, "no id")]
+    labels = [(k, k % 2, 0) for k in range(100)] + [(7, 1, 1), (9, 1, 0), (9, 1, 0), (None, 1, 0), (500, 1, 0), (11, None, 0)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = queries.trusted_documents(spark, str(tmp_path))
+    assert sorted(r.doc_id for r in found.collect()) == sorted([*range(1, 100, 2), 7])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and "getbit" in plan
+
+
 def brute_candidates(text):
     """Places and values by a loop over the words."""
     telling = f"(?:{secret_scan.SECRET_WORDS})s?[\"']?"
