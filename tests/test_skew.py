@@ -1,7 +1,9 @@
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlake.operators import skew
+from cohortlake.operators import frames, skew
 
 
 def hot_rows(spark):
@@ -43,6 +45,24 @@ def test_salted_join_keeps_rows(spark, monkeypatch, how, rows):
     assert out.columns == ["k", "v", "label"]
 
 
+def test_melted_pairs_are_not_shuffled_for_their_labels(spark, monkeypatch):
+    """However many labels there are, as long as their bytes fit a broadcast."""
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 3)
+    names = [f"s{k}" for k in range(6)]
+    listed = [(a, b, float(i)) for i, (a, b) in enumerate(itertools.combinations(names, 2))]
+    pairs = spark.createDataFrame(listed, "a string, b string, dist double")
+    labels = spark.createDataFrame([(n, f"nation {n[1:]}") for n in names[:5]] + [("s0", "twice")], "sample string, nation string")
+    out = frames.matrix_melt(pairs, labels, "sample", "nation", "dist", 0.0)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
+    called = {n: [f"nation {n[1:]}"] for n in names[:5]} | {"s5": [None]}
+    called["s0"].append("twice")
+    square = [*listed, *[(b, a, d) for a, b, d in listed], *[(n, n, 0.0) for n in [*names[:5], "s0"]]]
+    want = [(a, b, d, x, y) for a, b, d in square for x in called[a] for y in called[b]]
+    order = lambda r: tuple(map(str, r))
+    assert sorted((tuple(r) for r in out.select("x", "y", "dist", "nation_x", "nation_y").collect()), key=order) == sorted(want, key=order)
+
+
 def test_keep_groups(spark, monkeypatch):
     monkeypatch.setattr(skew, "BROADCAST_ROWS", 0)
     out = skew.keep_groups(hot_rows(spark), ["k"], F.count(F.lit(1)) > 9)
