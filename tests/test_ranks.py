@@ -97,3 +97,12 @@ def test_event_near_flag_stays_inside_the_subject(spark):
     df = spark.createDataFrame(rows, "s int, day int, hit boolean, fever boolean")
     out = groups.event_near_flag(df, "s", "day", F.col("hit"), F.col("fever"), 2, "near").collect()
     assert {(r.s, r.day) for r in out if r.near} == {(1, 2), (2, 5)}
+
+
+def test_split_points_of_composite_keys_leave_out_those_with_nulls(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "SMALL_TABLE", 1)
+    rows = [(None, "root"), *[(f"p{i % 3}", f"n{i:02d}") for i in range(40)]]
+    df = spark.createDataFrame(rows, "parent string, node string")
+    out = ranks.with_position(df, [], [F.col("parent"), F.col("node")]).collect()
+    want = sorted(rows, key=lambda r: (r[0] is not None, r))
+    assert {r.node: r.position for r in out} == {node: i for i, (_, node) in enumerate(want, 1)}
