@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -142,6 +143,24 @@ def release(spark: SparkSession, paths: list[str], keep: DataFrame | None = None
             _WRITTEN.remove(path)
 
 
+@contextmanager
+def small_steps(spark: SparkSession):
+    """For jobs of several ``materialize``d steps that never run a plan twice, with long rows for Python.
+
+    Within, shuffle files go when the action that wrote them ends, not when the driver collects its garbage, and
+    tasks hand rows to Python about 8 MB at a time.
+    """
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Number of shuffle partitions, the yardstick for splitting hot groups."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

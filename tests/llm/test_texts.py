@@ -5,6 +5,7 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -13,8 +14,8 @@ import sentencepiece
 from cases import LONG, documents, fold, line_counts, phrase_counts, words
 from pyspark.sql import functions as F
 
-from cohortlake.llm import license_rules, line_rules, ngram_quality, piece_codec, queries, token_files
-from cohortlake.session import fresh_path
+from cohortlake.llm import license_rules, line_rules, ngram_quality, piece_codec, queries, token_files, word_blocks
+from cohortlake.session import fresh_path, written
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -346,6 +347,46 @@ def test_perplexities_by_shards(spark, frequent):
         assert expected is None or math.isclose(r.perplexity, expected, rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("frequent", [0, 7])
+def test_words_outside_the_codebook(spark, frequent):
+    """Words that the codebook lacks are spelled out; the scores are the same."""
+    df = documents(spark).withColumn("text", F.substring("text", 1, 400))
+    trusted = df.where("doc_id % 3 = 0 AND text IS NOT NULL")
+    model = ngram_quality.train(trusted.select("text"), frequent)
+    want = brute_model([r.text for r in trusted.collect()])
+    found = ngram_quality.perplexities(df, model)
+    named = df.select("text", *ngram_quality.text_name("text")).distinct().join(found, ["h1", "h2"]).collect()
+    assert len(named) == sum(want(r.text) is not None for r in df.select("text").distinct().collect())
+    assert all(math.isclose(r.perplexity, want(r.text), rel_tol=1e-9) for r in named)
+
+
+def test_model_takes_few_bytes(spark):
+    """What training has written at its end, for each different 3-gram; as rows of 64-bit names it was 85 bytes."""
+    rng = random.Random(11)
+    known = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(known[min(int(rng.paretovariate(0.6)) - 1, 2999)] for _ in range(400)) for _ in range(500)]
+    grams = len({g for t in texts for s in [["<", "<", *t.split(), ">"]] for g in zip(s, s[1:], s[2:], strict=False)})
+    before = len(written())
+    ngram_quality.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    size = sum(f.stat().st_size for path in written(before) for f in Path(path.removeprefix("file:")).rglob("*.parquet"))
+    assert size < 25 * grams, size / grams
+
+
+def test_blocks_give_back_their_words():
+    rng = np.random.default_rng(2)
+    words = rng.integers(1, (1 << 64) - 1, 500, dtype=np.uint64)
+    book = word_blocks.Codebook(words[:100])
+    columns = [np.r_[rng.choice(words, 300), word_blocks.NOTHING] for _ in range(3)]
+    counts = np.r_[rng.integers(0, 1 << 32, 300), 0]
+    back, (n,), codes = book.unpack(book.pack(columns, [counts]))
+    assert all((a == b).all() for a, b in zip(back, columns, strict=True)) and (n == counts).all()
+    assert all(((code == 0) == ~np.isin(c, [*words[:100], 0])).all() for code, c in zip(codes, columns, strict=True))
+    parts = dict(word_blocks.by_place(words, 7))
+    assert sorted(np.concatenate(list(parts.values()))) == list(range(500)) and set(parts) == set(range(7))
+    with pytest.raises(OverflowError):
+        word_blocks.pack([np.array([1 << 32])])
+
+
 def test_shuffled_words_score_worse(spark):
     """The order of words counts: known texts against their own words in another order."""
     read = lambda name: spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet")
