@@ -13,8 +13,8 @@ the pair, a word's weight in that of the word; the documents' places travel ther
 sums for each text come back. What a shard must know of n-grams kept elsewhere (continuation counts of pairs, counts of words)
 it asks of their shards, which add up what all have sent. Weights are not stored: each task computes those of its shard from the counts.
 
-Disk: the model is stored as counts of coded words; documents and shards are taken in ``PARTS`` parts each, one part of the documents
-(by a hash of the text) with one of the shards after the other. A place of
+Disk: the model is stored as counts of coded words; documents are taken in ``PARTS`` parts (by a hash of the text) and shards in
+``SHARD_PARTS``, one part of the documents with one of the shards after the other. A place of
 a text whose words the training text lacks is unseen and stays where it is (a bitmap of fixed size; it lets others through as well).
 
 Rows: null and empty texts and texts without words have a null perplexity and are rejected. A language without
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from cohortlake.llm.bitmaps import bitmap
 from cohortlake.llm.word_blocks import NOTHING, PIECE, ROWS, Codebook, Names, batch, by_place, place, pack, rows, to_shards, unpack
-from cohortlake.llm.words import count_words, mix, slices, word_hashes
+from cohortlake.llm.words import mix, slices, word_hashes
 from cohortlake.operators.ranks import exact_quantiles
 from cohortlake.operators.skew import BROADCAST_BYTES, join_null_safe, skew_join
 from cohortlake.session import materialize, release, small_steps, shuffle_width, sized, written
@@ -44,7 +44,7 @@ from cohortlake.session import materialize, release, small_steps, shuffle_width,
 ORDER = 3
 FREQUENT = 1 << 18
 CHUNK = 1 << 21
-PARTS = 2
+PARTS, SHARD_PARTS = 3, 2
 VOCABULARY_BITS = 26
 START, END = mix(np.array([1, 2], np.uint64))
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -513,7 +513,7 @@ def _scores(found: pa.Table) -> pa.Table:
 
 
 def perplexities(df: DataFrame, model: Model, text: str = "text", frequent: int = FREQUENT) -> DataFrame:
-    """``h1, h2, perplexity`` of each distinct text with words; ``h1``, ``h2``: ``text_name`` of the text.
+    """``h1, h2, n_words, perplexity`` of each distinct text with words; ``h1``, ``h2``: ``text_name`` of the text.
 
     ``frequent``: words of the codebook whose weights are added up where the text is; the rest are asked for.
     Copies of a text add up their log probabilities and their places alike, so the quotient is that of one.
@@ -522,7 +522,7 @@ def perplexities(df: DataFrame, model: Model, text: str = "text", frequent: int
     with small_steps(spark):
         known = _known_words(model, frequent)
     named = df.select(*text_name(text), F.col(text).alias("text"))
-    bounds = [model.shards * k // PARTS for k in range(PARTS + 1)]
+    bounds = [model.shards * k // SHARD_PARTS for k in range(SHARD_PARTS + 1)]
     for part, low, high in ((k, *b) for k in range(PARTS) for b in zip(bounds[:-1], bounds[1:], strict=True)):
         places = named.where(F.pmod("h1", F.lit(PARTS)) == part).mapInArrow(_document_places(model, known, low, high), ROWS)
         blocks = model.blocks.where(F.col("shard").between(low, high - 1))
@@ -533,8 +533,11 @@ def perplexities(df: DataFrame, model: Model, text: str = "text", frequent: int
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
-    sums = every.groupBy("h1", "h2").agg(F.sum("score").alias("score"), F.sum("events").alias("events"))
-    return sums.select("h1", "h2", F.exp(-F.col("score") / F.col("events")).alias("perplexity"))
+    # Places are counted with the first part of the shards, in each copy of a text; the end mark is one of them.
+    sums = every.groupBy("h1", "h2").agg(
+        F.sum("score").alias("score"), F.sum("events").alias("events"), (F.max("events") - 1).alias("n_words")
+    )
+    return sums.select("h1", "h2", "n_words", F.exp(-F.col("score") / F.col("events")).alias("perplexity"))
 
 
 def text_name(text: str) -> list[Column]:
@@ -567,8 +570,9 @@ def classify(
     model_tables = written(before)
     scores = materialize(perplexities(df, model, text), "scores")
     release(df.sparkSession, model_tables)
-    rows = df.select(F.col(id_col).alias("id"), F.col(lang).alias("lang"), count_words(F.col(text)).alias("n_words"), *text_name(text))
+    rows = df.select(F.col(id_col).alias("id"), F.col(lang).alias("lang"), *text_name(text))
     scored = skew_join(materialize(rows, "named"), scores, ["h1", "h2"], "left").drop("h1", "h2")
+    scored = scored.withColumn("n_words", F.coalesce("n_words", F.lit(0)))
     flagged = scored.join(ids.withColumn("held", held), F.col("id") == F.col("trusted_id"), "left")
     flagged = flagged.withColumn("trusted", F.col("trusted_id").isNotNull()).withColumn("held", F.coalesce("held", F.lit(False)))
     flagged = materialize(flagged, "scored")
